@@ -125,7 +125,7 @@ class CachedEncoder(dict):
     """Encodes texts chunk by chunk and keeps the chunks' ids, as bytes.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are its chunks' ids in a row.
-    Trailing marks of ``_AFTER`` never join the letters before them, so they're encoded apart.
+    Trailing marks of ``_AFTER`` never join a letter or digit before them, so they're encoded apart.
     """
 
     def __init__(self, path: str, kept: int = 600_000):
@@ -136,7 +136,7 @@ class CachedEncoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(_AFTER)
-        if word and word != chunk and not word.endswith("'"):
+        if word and word != chunk and word[-1].isalnum():
             ids = self[word] + self[chunk[len(word) :]]
         else:
             ids = np.array(self._encode(chunk), "<u4").tobytes()
