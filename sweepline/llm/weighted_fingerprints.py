@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table
 
-#: Samples of a fingerprint, and how many of them one row works out.
-SAMPLES, EACH = 32, 8
+#: Samples of a fingerprint, and how many of them one row works out (few, so that the generated code stays compilable).
+SAMPLES, EACH = 32, 2
 _SPACE = r"[\x20\x09-\x0D]+"
 _STEP = 1 << 20
 
@@ -70,7 +70,8 @@ def _uniform(h: Column, shift: int) -> Column:
 
 def _draws(k: Column) -> Column:
     """r, ln c, b and an identity of sample ``k`` of ``term``."""
-    h, g = F.xxhash64("term", k), F.xxhash64(k, "term")
+    h = F.xxhash64("term", k)
+    g = F.xxhash64(h)
     r = -F.ln(_uniform(h, 0) * _uniform(h, 21))
     ln_c = F.ln(-F.ln(_uniform(g, 0) * _uniform(g, 21)) + F.lit(1e-12))
     return F.struct((r + F.lit(1e-9)).alias("r"), ln_c.alias("c"), (_uniform(g, 42) - F.lit(1 / (1 << 21))).alias("b"), h.alias("h"))
