@@ -15,11 +15,11 @@ def job_cross(collections: DataFrame, timeframes: DataFrame, strategies: DataFra
 def grid_cross(grid: DataFrame) -> DataFrame:
     """``grid`` (strategy, grid map<string,array<string>>) -> (strategy, grid_ordinal, params); the last key varies fastest.
 
-    Keys go in sorted order; an empty grid gives one empty combination.
+    Keys go in sorted order; an empty grid gives one empty combination, a key without options none.
     """
     keys = F.array_sort(F.map_keys("grid"))
     total = F.aggregate(keys, F.lit(1), lambda n, k: n * F.size(F.col("grid")[k]))
-    rows = grid.select("strategy", "grid", keys.alias("_keys"), F.explode(F.sequence(F.lit(0), total - 1)).alias("grid_ordinal")).filter("grid_ordinal >= 0")
+    rows = grid.filter(total > 0).select("strategy", "grid", keys.alias("_keys"), F.explode(F.sequence(F.lit(0), total - 1)).alias("grid_ordinal"))
     after = lambda i: F.aggregate(F.slice("_keys", i + 2, F.size("_keys")), F.lit(1), lambda n, k: n * F.size(F.col("grid")[k]))
     chosen = F.transform("_keys", lambda k, i: F.struct(k, F.get(F.col("grid")[k], F.pmod(F.floor(F.col("grid_ordinal") / after(i)), F.size(F.col("grid")[k])).cast("int"))))
     return rows.select("strategy", F.col("grid_ordinal").cast("int"), F.map_from_entries(chosen).alias("params"))
