@@ -109,9 +109,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, rate: float =
             for k in range(rank):
                 g = np.bincount(inverse, pull[:, k]) / len(own) + 5e-4 * v[touched, k]
                 gv[touched, k] += g * g
-                v[touched, k] -= 0.1 * rate * g / np.sqrt(gv[touched, k])
+                v[touched, k] -= 0.2 * rate * g / np.sqrt(gv[touched, k])
             gb += error.mean() ** 2
-            machine.bias -= 0.2 * rate * error.mean() / np.sqrt(gb)
+            machine.bias -= rate * error.mean() / np.sqrt(gb)
     return machine
 
 
