@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -20,11 +21,12 @@ def sma_cross(bars: DataFrame, grid: list[tuple[int, int]], keys: list[str]) ->
     """Entry while the fast average is over the slow one, exit otherwise; a row for each bar and combination."""
     lengths = sorted({n for pair in grid for n in pair})
     averaged = moving_averages(bars, lengths, keys)
-    of = F.create_map(*(x for n in lengths for x in (F.lit(n), F.col(f"sma_{n}"))))
-    combos = F.array(*(F.struct(F.lit(i).alias("combo_id"), F.lit(a).alias("fast"), F.lit(b).alias("slow")) for i, (a, b) in enumerate(grid)))
-    crossed = averaged.select("*", F.inline(combos))
-    entry = of[F.col("fast")] > of[F.col("slow")]
-    return crossed.withColumn("entry", entry).withColumn("exit", ~entry).drop(*(f"sma_{n}" for n in lengths))
+    combos = [{"combo_id": i, "fast": a, "slow": b, "f": lengths.index(a), "s": lengths.index(b)} for i, (a, b) in enumerate(grid)]
+    table = F.from_json(F.lit(json.dumps(combos)), "array<struct<combo_id:int,fast:int,slow:int,f:int,s:int>>")  # folded to a constant
+    means = averaged.withColumn("_means", F.array(*(f"sma_{n}" for n in lengths))).drop(*(f"sma_{n}" for n in lengths))
+    signals = F.transform(table, lambda g: F.struct(g["combo_id"], g["fast"], g["slow"], (F.get("_means", g["f"]) > F.get("_means", g["s"])).alias("entry")))
+    crossed = means.select(*(c for c in means.columns if c != "_means"), F.inline(signals))
+    return crossed.withColumn("exit", ~F.col("entry"))
 
 
 def ternary(signal: Column) -> tuple[Column, Column]:
