@@ -383,10 +383,11 @@ def test_windows_by_loop():
 
 
 def test_scores_tell_shuffled_texts(spark, documents):
-    model = lm_scoring.train(documents)
+    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
+    net = lm_scoring.train(lm_scoring.encode(documents, vocabulary), counts)
     texts = [r.text for r in documents.filter("length(text) > 1000 and lang = 'en'").limit(15).collect()]
     rng = np.random.default_rng(3)
     noise = [" ".join("".join(rng.permutation(list(w))) for w in t.split()) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts + noise)), "doc_id long, text string")
-    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.pseudo_likelihood(docs, model).collect()}
+    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
     assert sum(got[i] > got[i + len(texts)] for i in range(len(texts))) > 0.8 * len(texts)
