@@ -24,7 +24,7 @@ from .common import in_slices, is_held_out, map_arrow, table
 
 #: Training rows that the model is fitted on at most.
 SAMPLE_ROWS = 12_000
-#: Characters of a training text's counts are kept in tables of this many hashed trigrams.
+#: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
 SWITCH = 12.0
 LETTER_WORDS = re.compile(r"[^\W\d_]+")
@@ -139,19 +139,11 @@ def viterbi(ids: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np
     return out
 
 
-def fit(texts: list[str], langs: list[str]) -> LanguageModel:
-    """Hashed trigram frequencies by language, add-one smoothed; scripts with at least 2 % of a language's words."""
-    languages = sorted(set(langs))
-    counts, scripts = np.ones((SLOTS, len(languages))), np.zeros((OTHER + 1, len(languages)))
-    for text, lang in zip(texts, langs, strict=True):
-        words = LETTER_WORDS.findall(text.lower())
-        if words:
-            slots, _, of = trigrams(words)
-            k = languages.index(lang)
-            counts[:, k] += np.bincount(slots, minlength=SLOTS)
-            scripts[:, k] += np.bincount(of, minlength=OTHER + 1)
-    scores = np.log(counts / counts.sum(0))
-    return LanguageModel(languages, scores - scores.mean(1, keepdims=True), scripts >= 0.02 * np.maximum(1, scripts.sum(0)))
+def model_of(languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> LanguageModel:
+    """From trigram and script counts [.., language]: add-one frequencies; scripts with at least 2 % of a language's words."""
+    scores = np.log((counts + 1) / (counts + 1).sum(0))
+    centred = scores - scores.mean(1, keepdims=True) if languages else scores
+    return LanguageModel(languages, centred, scripts >= 0.02 * np.maximum(1, scripts.sum(0)))
 
 
 def train(docs: DataFrame) -> LanguageModel:
@@ -177,14 +169,13 @@ def train(docs: DataFrame) -> LanguageModel:
     summed = map_arrow(rows, run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found = summed.toPandas()  # at most SLOTS rows for each learned language
     languages = sorted(found["lang"].unique())
-    counts, scripts = np.ones((SLOTS, len(languages))), np.zeros((OTHER + 1, len(languages)))
+    counts, scripts = np.zeros((SLOTS, len(languages))), np.zeros((OTHER + 1, len(languages)))
     for k, lang in enumerate(languages):
         own = found[found["lang"] == lang]
         slot, n = own["slot"].to_numpy(), own["n"].to_numpy()
         counts[slot[slot >= 0], k] += n[slot >= 0]
         scripts[-1 - slot[slot < 0], k] += n[slot < 0]
-    scores = np.log(counts / counts.sum(0))
-    return LanguageModel(languages, scores - scores.mean(1, keepdims=True) if languages else scores, scripts >= 0.02 * np.maximum(1, scripts.sum(0)))
+    return model_of(languages, counts, scripts)
 
 
 def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
