@@ -156,7 +156,7 @@ def _blocks(benchmark: DataFrame, width: int):
         yield Seeds(block, width)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: float = 0.6) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, coverage, matched_words, tiles) of the documents and items at coverage ``least`` or more."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, coverage double, matched_words long, tiles long"
@@ -179,7 +179,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: flo
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: float = 0.6) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that leak no item; columns stay as they are."""
     import pyarrow as pa
 
