@@ -40,7 +40,8 @@ def omega_ratio(r: str = "r", threshold: float = 0.0) -> Column:
 
 def tail_ratio(r: str = "r", upper: float = 0.95, lower: float = 0.05) -> Column:
     x = not_nan(r)
-    high, low = F.abs(F.percentile(x, F.lit(upper))), F.abs(F.percentile(x, F.lit(lower)))
+    both = F.percentile(x, F.array(F.lit(upper), F.lit(lower)))  # one aggregate for the two quantiles
+    high, low = F.abs(both[0]), F.abs(both[1])
     return F.when(F.count(x) == 0, NAN).when(close_to_zero(low), F.when(high > 0, INF).otherwise(NAN)).otherwise(high / low)
 
 
