@@ -32,6 +32,8 @@ GROUP_ROWS = 4096
 TASK_ROWS = 60_000
 #: Pairs of leaves compared at once.
 SLAB = 2_000_000
+#: Shingles and sets of one part of a group in the exact check.
+PART_SHINGLES, PART_SETS = 200_000, 500
 
 
 def shingle_hashes(text: str, words_each: int, words: int) -> np.ndarray:
@@ -251,16 +253,136 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("bits")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, budget: int = 46, block_bits: int = 14, tables: int = 32) -> DataFrame:
+def alike(sets: list[np.ndarray], share: float) -> list[tuple[int, int]]:
+    """(i, j): a spanning forest of all pairs of sets of distinct hashes with a Jaccard similarity of ``share`` or more.
+
+    Sets are reached from one another: each is held once against those of a fitting size that nothing has reached yet.
+    """
+    place = np.array(sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: len(sets[i])), np.int64)
+    if len(place) < 2:
+        return []
+    sizes = np.array([len(sets[i]) for i in place], np.int64)
+    _, flat = np.unique(np.concatenate([sets[i] for i in place]), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    mark, found = np.zeros(int(flat.max()) + 1, np.int32), []
+    rows, row_sizes, starts = np.arange(len(place)), sizes, np.cumsum(sizes) - sizes
+    open_, ahead = np.ones(len(place), bool), []
+    while True:
+        if not ahead:
+            left = np.flatnonzero(open_[rows])
+            if len(left) < 2:
+                return [(int(place[i]), int(place[j])) for i, j in found]
+            ahead.append(int(rows[left[0]]))
+            open_[ahead[0]] = False
+        if 2 * np.count_nonzero(open_[rows]) < len(rows):
+            rows = rows[open_[rows]]
+            if not len(rows):
+                return [(int(place[i]), int(place[j])) for i, j in found]
+            row_sizes, flat = sizes[rows], np.concatenate([own[r] for r in rows])
+            starts = np.cumsum(row_sizes) - row_sizes
+        i = ahead.pop()
+        low = np.searchsorted(row_sizes, math.floor(sizes[i] * share), "left")
+        high = np.searchsorted(row_sizes, math.ceil(sizes[i] / share), "right")
+        if low == high:
+            continue
+        mark[own[i]] = 1
+        both = np.add.reduceat(mark[flat[starts[low] : starts[high - 1] + row_sizes[high - 1]]], starts[low:high] - starts[low])
+        mark[own[i]] = 0
+        near = (both * (1 + share) >= share * (sizes[i] + row_sizes[low:high]) - 1e-9) & open_[rows[low:high]]
+        for j in rows[low:high][near].tolist():
+            found.append((i, j))
+            ahead.append(j)
+            open_[j] = False
+
+
+def _marked(docs: DataFrame, shingle_words: int, words: int) -> DataFrame:
+    """(doc_id, id, key, node, size, bits): ``node`` stands for a set of shingles, ``id`` and ``key`` for a row's text."""
+
+    def run(batches):
+        for batch in in_slices(batches):
+            nodes, sizes, bits = [], [], []
+            for text in batch["text"]:
+                hashes = shingle_hashes(text or "", shingle_words, words)
+                shingles = np.unique(hashes[:, 0])
+                nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                sizes.append(len(shingles))
+                bits.append(majority(hashes))
+            yield {"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "node": nodes, "size": sizes, "bits": bits}
+
+    return map_arrow(_keyed(docs), run, "doc_id long, id long, key binary, node binary, size long, bits binary")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    known = F.col("doc_id").cast("long")
+    return docs.select(known.alias("doc_id"), F.coalesce(known, F.lit(2**63 - 1)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), "text")
+
+
+def _checked_links(docs: DataFrame, named: DataFrame, shingle_words: int, share: float) -> DataFrame:
+    """(a, b) of nodes that are alike by their exact shingle sets, as far as they have the same ``root`` in ``named``.
+
+    A root with many nodes is dealt into parts that are checked two by two; a task holds one pair of parts at a time.
+    """
+    totals = named.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("n")).filter("n > 1")
+    parts = F.greatest(F.ceil(F.col("total") / PART_SHINGLES), F.ceil(F.col("n") / PART_SETS)).cast("int")
+    sized = named.join(totals.select("root", parts.alias("parts")), "root")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    sized = materialize(sized.select("root", "node", "size", "id", "key", "parts", own.alias("own")), "near-candidates")
+    texts = _keyed(docs).select("id", "key", "text").join(sized.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
+    dealt = sized.join(texts, ["id", "key"]).select("root", "node", "text", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "node", "text")
+    load = sized.agg(F.sum(F.col("size") * F.greatest(F.lit(1), F.col("parts") - 1))).first()[0] or 0
+    by = ["root", "part_a", "part_b"]
+    dealt = dealt.repartition(max(1, math.ceil(load / PART_SHINGLES / 4)), *by).sortWithinPartitions(*by)
+
+    def links(nodes, sets):
+        found = alike(sets, share)
+        return {"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}
+
+    def run(batches):
+        at, nodes, sets = None, [], []
+        for batch in in_slices(batches):
+            for *key, node, text in zip(batch["root"], batch["part_a"], batch["part_b"], batch["node"], batch["text"], strict=True):
+                if key != at:
+                    yield links(nodes, sets)
+                    at, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text or "", shingle_words, 1)[:, 0]))
+        yield links(nodes, sets)
+
+    return map_arrow(dealt, run, "a binary, b binary")
+
+
+def checked_groups(docs: DataFrame, shingle_words: int, words: int, budget: int, block_bits: int, tables: int, share: float) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of rows linked by exact Jaccard similarities of ``share`` or more.
+
+    Fingerprints only say which nodes may be alike; their groups are then checked and built anew from what holds.
+    """
+    marked = materialize(_marked(docs, shingle_words, words), "near-sets")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("size").alias("size"), F.min("bits").alias("bits"), F.min(F.struct("id", "key")).alias("first"))
+    nodes = materialize(nodes.select("node", "low", "size", "bits", "first.id", "first.key"), "near-nodes")
+    links = trie_links(nodes.select("bits").distinct(), words, budget, block_bits, tables)
+    groups = connected_components(links).select(F.col("node").alias("bits"), "root")
+    named = nodes.join(groups, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    groups = connected_components(_checked_links(docs, named, shingle_words, share))
+    rooted = nodes.select("node", "low").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "near-groups")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_node = rooted.join(lowest, "root").select("node", "component_id")
+    return marked.join(of_node, "node").select("doc_id", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, budget: int = 46, block_bits: int = 14, tables: int = 32, share: float = 0.8) -> DataFrame:
     """Keep the row with the smallest id of every group of near copies; columns stay as they are.
 
-    Five-word shingles and 256 bits: two texts whose shingle sets have Jaccard similarity 0.8 (cosine 0.89) differ
-    in 39 of 256 bits on average, with a standard deviation of 6, and unrelated ones in 128; the budget of 46 bits
-    keeps 9 of 10 pairs at 0.8. A pair is compared where it agrees on one of 32 blocks of 14 bits: 97 of 100
-    pairs at 0.8, nearly all at 0.9. Of rows that share the smallest id, one of each text stays; rows without an id
-    stay, one of each text.
+    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, worked out
+    exactly; groups are what such pairs link. Which pairs are looked at is found by 256-bit fingerprints: at 0.8
+    (cosine 0.89) two differ in 39 bits on average, with a standard deviation of 6, and unrelated ones in 128; the
+    budget of 46 bits keeps 9 of 10 pairs at 0.8. A pair is compared where it agrees on one of 32 blocks of 14 bits:
+    97 of 100 pairs at 0.8, nearly all at 0.9. Of rows that share the smallest id, one of each text stays; rows
+    without an id stay, one of each text.
     """
-    found = near_groups(docs.select("doc_id", "text"), shingle_words, words, budget, block_bits, tables)
+    found = checked_groups(docs.select("doc_id", "text"), shingle_words, words, budget, block_bits, tables, share)
     keepers = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     named = docs.filter("doc_id is not null").join(keepers, F.col("doc_id") == F.col("_keep"), "left_semi")
     same = F.sha2(F.coalesce("text", F.lit("")), 256)

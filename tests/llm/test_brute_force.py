@@ -176,6 +176,44 @@ def test_near_copies_are_found(spark):
     assert set(kept) == set(range(20)) and len(kept) <= 21
 
 
+def plain_alike(sets, share):
+    return [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])]
+
+
+def test_forest_of_alike_sets():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 2**63, rng.integers(1, 60))
+        for _ in range(rng.integers(1, 6)):
+            keep = base[rng.random(len(base)) < 0.93]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 4))]).astype(np.uint64)))
+    plain = [set(x.tolist()) for x in sets]
+    pairs = {(i, j) for i, j in plain_alike(plain, 0.8) if plain[i]}
+    found = simhash.alike(sets, 0.8)
+    assert {(min(x), max(x)) for x in found} <= pairs and len(pairs) > 20
+    at = range(len(sets))
+    linked = {(min(x), max(x)) for x in found}
+    assert components_of(list(at), lambda a, b: (min(a, b), max(a, b)) in linked) == components_of(list(at), lambda a, b: (min(a, b), max(a, b)) in pairs)
+
+
+@pytest.mark.parametrize("part", [500, 3])
+def test_documents_that_share_a_passage_stay(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_SETS", part)  # 3: even small groups are dealt into parts
+    rng = np.random.default_rng(6)
+    docs, copies = [], 0
+    for _ in range(12):
+        shared = [f"w{x}" for x in rng.integers(0, 5000, 260)]
+        for _ in range(6):  # similarity of 0.72 to 0.79
+            docs.append(" ".join(shared + [f"v{x}" for x in rng.integers(0, 10**6, 40)]))
+        docs.append(docs[-1] + " with one more sentence")
+        copies += 1
+    shingles = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in docs]
+    assert len(plain_alike(shingles, 0.8)) == copies and len(plain_alike(shingles, 0.7)) > 100
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(len(docs)) if i % 7 != 6]
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(links).collect()}
