@@ -214,6 +214,19 @@ def test_documents_that_share_a_passage_stay(spark, monkeypatch, part):
     assert sorted(r.doc_id for r in kept) == [i for i in range(len(docs)) if i % 7 != 6]
 
 
+def test_all_copies_just_over_the_similarity_are_found(spark):
+    rng = np.random.default_rng(9)
+    docs = []
+    for _ in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        docs += [" ".join(words), " ".join(words[:269] + [f"v{x}" for x in rng.integers(0, 10**6, 31)])]
+    shingles = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in docs]
+    same = [len(a & b) / len(a | b) for a, b in zip(shingles[::2], shingles[1::2], strict=True)]
+    assert 0.8 <= min(same) <= max(same) < 0.82
+    kept = simhash.one_of_each_group(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 300, 2))
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(links).collect()}
