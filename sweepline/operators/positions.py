@@ -70,8 +70,8 @@ def sample_curve(curve: DataFrame, keys: list[str], value: str, max_points: int
     return rows.filter((F.pmod("_i", step) == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
 
 
-def trades_log(evaluated: DataFrame, keys: list[str], limit: int = 50) -> DataFrame:
-    """The first round trips of each series: times, prices and profit per unit."""
+def trades_log(evaluated: DataFrame, keys: list[str], limit: int | None = 50) -> DataFrame:
+    """The first round trips of each series, all with a ``limit`` of None: times, prices and profit per unit."""
     entry = (F.col("h") == 1) & (F.col("h_before") == 0)
     exit_ = (F.col("h") == 0) & (F.col("h_before") == 1)
     upto = _by(keys).rowsBetween(Window.unboundedPreceding, 0)
@@ -79,7 +79,8 @@ def trades_log(evaluated: DataFrame, keys: list[str], limit: int = 50) -> DataFr
     trips = fills.groupBy(*keys, "trade").agg(
         F.min("ts").alias("entry_time"), F.max("ts").alias("exit_time"), F.min_by("close", "ts").alias("entry_price"), F.max_by("close", "ts").alias("exit_price"), F.count("*").alias("_fills")
     )
-    return trips.filter(f"_fills = 2 and trade <= {limit}").withColumn("profit", F.col("exit_price") - F.col("entry_price")).drop("_fills")
+    trips = trips.filter("_fills = 2" if limit is None else f"_fills = 2 and trade <= {limit}")
+    return trips.withColumn("profit", F.col("exit_price") - F.col("entry_price")).drop("_fills")
 
 
 def whole_share_equity(trips: DataFrame, keys: list[str], cash: float = 10_000.0, fee: float = 0.001, fractional: bool = False) -> DataFrame:

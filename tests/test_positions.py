@@ -76,3 +76,16 @@ def test_trades_and_whole_shares(spark):
 def test_empty_bars(spark):
     empty = frame(spark, [], "entry boolean, exit boolean, close double")
     assert P.evaluate(empty, ["k"]).count() == 0
+
+
+def test_whole_share_equity_over_more_than_fifty_trips(spark):
+    trips = 60
+    rows = [("a", i, 100.0 + i, int(i % 2 == 0), int(i % 2 == 1)) for i in range(2 * trips)]
+    done = spark.createDataFrame(rows, "k string, ts long, close double, h int, h_before int")
+    got = P.whole_share_equity(P.trades_log(done, ["k"], limit=None), ["k"], cash=1_000_000.0).first()
+    cash = 1_000_000.0
+    for t in range(trips):
+        shares = cash // ((100.0 + 2 * t) * 1.001)
+        cash += shares * ((101.0 + 2 * t) * 0.999 - (100.0 + 2 * t) * 1.001)
+    assert got.trades == trips and abs(got.cash - cash) < 1e-3
+    assert P.trades_log(done, ["k"]).count() == 50
