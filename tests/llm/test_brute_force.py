@@ -442,3 +442,15 @@ def test_scores_tell_shuffled_texts(spark, documents):
     docs = spark.createDataFrame(list(enumerate(texts + noise)), "doc_id long, text string")
     got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
     assert sum(got[i] > got[i + len(texts)] for i in range(len(texts))) > 0.8 * len(texts)
+
+
+def test_invented_words_score_below_the_words_they_stand_for(spark, documents):
+    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
+    net = lm_scoring.Network.start(counts)
+    texts = [r.text for r in documents.filter("length(text) > 1000 and lang = 'en'").collect()]
+    texts = [t for t in texts if any(vocabulary[w] > lm_scoring.N_WORDS for w in lm_scoring.TOKENS.findall(t.lower()))]
+    junk = [lm_scoring.TOKENS.sub(lambda m: m[0] if vocabulary[m[0].lower()] <= lm_scoring.N_WORDS else "qxzjvk" + m[0][-2:], t) for t in texts]
+    assert len(texts) >= 5
+    docs = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
+    assert all(got[i] > got[i + len(texts)] for i in range(len(texts)))
