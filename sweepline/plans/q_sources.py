@@ -178,17 +178,9 @@ def norm_info(spark, d):
     return L.norm_info(X.table(spark, d, "customer").select(F.col("c_name").alias("symbol"), info.alias("info")))
 
 
-def _folder(spark, tag: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/sweepline-{tag}-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='spark-bars-')}/{tag}"
-
-
 @query("bars_parquet_scan", f"WITH {X.EVENT_BARS_SQL} SELECT symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM bars WHERE symbol < 'p'")
 def bars_parquet_scan(spark, d):
-    path = _folder(spark, "bars")
+    path = storage.shared_folder(spark, "bars")
     daily = _bars(spark, d).drop("close_key").withColumn("timeframe", F.lit("1d"))
     hourly = X.bars_events(spark, d).drop("close_key").withColumn("timeframe", F.lit("1h"))
     storage.bars_parquet_sink(daily.unionByName(hourly).withColumn("source", F.lit("ticks")), path)
@@ -197,7 +189,7 @@ def bars_parquet_scan(spark, d):
 
 @query("bars_parquet_sink", BACK_SQL)
 def bars_parquet_sink(spark, d):
-    path = _folder(spark, "bars")
+    path = storage.shared_folder(spark, "bars")
     storage.bars_parquet_sink(_bars(spark, d).drop("close_key").withColumn("timeframe", F.lit("1d")).withColumn("source", F.lit("A/B")), path)
     return _back(storage.bars_parquet_scan(spark, path, "A/B", "1d"))
 
@@ -210,7 +202,7 @@ def results_csv_scan(spark, d):
     from ..functions.scalars import not_nan
     from .q_results import results_csv_sink
 
-    path = _folder(spark, "csv")
+    path = storage.shared_folder(spark, "csv")
     storage.results_csv_sink(results_csv_sink(spark, d).select(*(c.split()[0] for c in storage.RESULTS_CSV.split(", "))), path)
     rows = storage.results_csv_scan(spark, path)
     return rows.select("collection", "symbol", "timeframe", "strategy", "params", "metric_value", "omega", not_nan("sharpe").alias("sharpe"))

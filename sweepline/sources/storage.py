@@ -1,7 +1,10 @@
-"""Tables on storage: bars, results, summaries, run files, retention."""
+"""Tables on storage: bars, results, summaries, run files, retention; the folder that executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,41 @@ BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, c
 RESULTS_CSV = "collection string, symbol string, timeframe string, strategy string, metric string, metric_value string, params string, sharpe string, sortino string, omega string, tail_ratio string, profit string, pain_index string, trades string, max_drawdown string"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it isn't set, a local session gets a new folder and a cluster an error, as its
+    executors see no folder of the driver's."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new place in the shared folder; unless it is to be kept, it is removed when the session's driver ends."""
+    top = f"{shared_root(spark)}/sweepline-{tag}-{uuid.uuid4().hex}"
+    if not keep:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{top}/data"
+
+
+def open_folder(uri: str):
+    """(file system, path) of a shared folder's address, for tasks that read or write files of their own."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
+
+
 def bars_parquet_sink(bars: DataFrame, path: str) -> None:
     """Partitioned by source and timeframe; the symbol stays a column, so A/B and A-B don't meet."""
     bars.write.mode("overwrite").partitionBy("source", "timeframe").option("compression", "zstd").parquet(path)
