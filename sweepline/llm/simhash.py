@@ -2,9 +2,10 @@
 
 A document's fingerprint is the bitwise majority of its shingles' 64-bit hashes. Fingerprints within a Hamming
 budget are linked, and linked documents form groups. To spread the self-join over tasks, every distinct
-fingerprint enters one trie per *table*: a table puts one block of bits first and needs it to be equal, which by
-the pigeonhole principle loses nothing when there are more disjoint blocks than the budget has bits. Inside a
-task the trie below such a block is joined with itself: pairs of nodes are walked level by level, differing bits
+fingerprint enters one trie per *table*: a table puts some blocks of bits first and needs them to be equal. With
+``budget + k`` disjoint blocks any two fingerprints within the budget agree on ``k`` of them, so a table for each choice of ``k``
+blocks loses nothing; ``k`` grows with the number of fingerprints, so that unrelated ones seldom meet. Inside a
+task the trie below such blocks is joined with itself: pairs of nodes are walked level by level, differing bits
 are added up, and a pair is dropped as soon as it exceeds the budget. A task returns a spanning forest of the
 links it found, never the pairs themselves, so that thousands of near copies stay linear in size.
 
@@ -15,15 +16,16 @@ Only ``doc_id`` and ``text`` are read, so further columns can't clash. An empty
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, in_slices, lower_ascii, map_arrow, materialize
+from .common import WORDS, free_names, hot_join, in_slices, lower_ascii, map_arrow, materialize
 from .components import connected_components
 
 #: Rows of one block value that a task joins at once; beyond it the value's rows are dealt into parts, joined two by two.
@@ -35,7 +37,7 @@ SLAB = 2_000_000
 #: Shingles and sets of one part of a group in the exact check.
 PART_SHINGLES, PART_SETS = 200_000, 500
 #: MinHash bands and the minima of each; their turns of a hash (xor, odd factor).
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 40, 6
 _TURNS = np.random.default_rng(7).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _TURNS[1] |= np.uint64(1)
 
@@ -203,23 +205,35 @@ def _join_tables(words: int, budget: int):
     return run
 
 
-def trie_links(nodes: DataFrame, words: int, budget: int, block_bits: int, tables: int) -> DataFrame:
-    """(a, b) of distinct fingerprints ``bits``: a spanning forest of those within ``budget`` bits, as far as
-    they agree on one of ``tables`` blocks of ``block_bits`` bits dealt evenly over the fingerprint.
+Blocks = tuple[tuple[int, int], ...]  # (first bit, bits) of each
 
-    With ``tables x block_bits`` no more than the width and ``budget < tables`` every link is found; with
-    a larger budget, those that have an equal block are.
-    """
-    width = 64 * words
-    offsets = [(width - block_bits) * t // max(1, tables - 1) for t in range(tables)] if tables > 1 else [0]
+
+def all_choices(n: int, width: int, budget: int) -> list[Blocks]:
+    """Tables that lose no pair within ``budget`` bits: every choice of k of ``budget + k`` blocks, k the least for which
+    ``n`` random fingerprints share the blocks with fewer than 1/8 others."""
+    k = next((k for k in range(1, 7) if 8 * n <= 2 ** (width * k / (budget + k))), 7)
+    cuts = [width * i // (budget + k) for i in range(budget + k + 1)]
+    return list(itertools.combinations(((a, b - a) for a, b in itertools.pairwise(cuts)), k))
+
+
+def even_blocks(n: int, width: int, tables: int, least: int) -> list[Blocks]:
+    """``tables`` blocks dealt evenly over the fingerprint, overlapping where they must: of ``least`` bits, and of more where
+    ``n`` random fingerprints would share a block with over 4 others."""
+    bits = max(least, math.ceil(math.log2(max(n, 4) / 4)))
+    return [(((width - bits) * t // max(1, tables - 1), bits),) for t in range(tables)]
+
+
+def trie_links(nodes: DataFrame, words: int, budget: int, tables: list[Blocks]) -> DataFrame:
+    """(a, b) of distinct fingerprints ``bits``: a spanning forest of those within ``budget`` bits that agree on all
+    blocks of one of the ``tables``."""
     hexed = F.hex("bits")
 
-    def block_of(offset: int):
-        first, last = offset // 4, math.ceil((offset + block_bits) / 4)
+    def block_of(offset: int, length: int) -> Column:
+        first, last = offset // 4, math.ceil((offset + length) / 4)
         value = F.conv(F.substring(hexed, first + 1, last - first), 16, 10).cast("long")
-        return F.shiftright(value, last * 4 - offset - block_bits).bitwiseAND((1 << block_bits) - 1).cast("int")
+        return F.shiftright(value, last * 4 - offset - length).bitwiseAND((1 << length) - 1)
 
-    blocks = F.array(*(F.struct(F.lit(t).alias("tbl"), block_of(o).alias("block")) for t, o in enumerate(offsets)))
+    blocks = F.array(*(F.struct(F.lit(t).alias("tbl"), F.xxhash64(*(block_of(*b) for b in chosen)).alias("block")) for t, chosen in enumerate(tables)))
     rows = nodes.select("bits", F.inline(blocks)).select("tbl", "block", "bits")
     sizes = rows.groupBy("tbl", "block").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
@@ -236,17 +250,21 @@ def trie_links(nodes: DataFrame, words: int, budget: int, block_bits: int, table
     return spread.mapInPandas(_join_tables(words, budget), "a binary, b binary")
 
 
-def near_groups(docs: DataFrame, shingle_words: int = 3, words: int = 1, budget: int = 3, block_bits: int = 16, tables: int = 4) -> DataFrame:
+def _lowest(nodes: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id) of ``nodes`` (key, low, n): the smallest ``low`` of each node's group."""
+    named = nodes.join(groups.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    named = materialize(named.select(key, "low", "n", "root"), "near-roots")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    return hot_join(named, lowest, "root", "members", named.count()).select(key, "n", "component_id")
+
+
+def near_groups(docs: DataFrame, shingle_words: int = 3, words: int = 1, budget: int = 3) -> DataFrame:
     """(doc_id, bits, component_id) of every row; see the module's text."""
     marked = materialize(fingerprints(docs, shingle_words, words), "simhash")
-    ids = marked.groupBy("bits").agg(F.min("doc_id").alias("low"))
-    links = trie_links(ids.select("bits"), words, budget, block_bits, tables)
-    groups = connected_components(links)
-    named = ids.join(groups, ids.bits == groups.node, "left").select("bits", "low", F.coalesce("root", "bits").alias("root"))
-    named = materialize(named, "simhash-groups")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_bits = named.join(lowest, "root").select("bits", "component_id")
-    return marked.join(of_bits, "bits").select("doc_id", "bits", "component_id")
+    ids = materialize(marked.groupBy("bits").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-bits")
+    links = trie_links(ids.select("bits"), words, budget, all_choices(ids.count(), 64 * words, budget))
+    of_bits = _lowest(ids, connected_components(links), "bits")
+    return hot_join(marked, of_bits, "bits", "n", marked.count()).select("doc_id", "bits", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
@@ -324,7 +342,7 @@ def band_links(nodes: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, shingle_words: int, words: int) -> DataFrame:
-    """(doc_id, id, key, node, size, bits, bands): ``node`` stands for a set of shingles, ``id`` and ``key`` for a row's text."""
+    """(id, key, node, size, bits, bands): ``node`` stands for a set of shingles, ``id`` and ``key`` for a row's text."""
 
     def run(batches):
         for batch in in_slices(batches):
@@ -336,85 +354,169 @@ def _marked(docs: DataFrame, shingle_words: int, words: int) -> DataFrame:
                 sizes.append(len(shingles))
                 bits.append(majority(hashes))
                 bands.append(band_keys(shingles))
-            yield {"doc_id": batch["doc_id"], "id": batch["id"], "key": batch["key"], "node": nodes, "size": sizes, "bits": bits, "bands": bands}
+            yield {"id": batch["id"], "key": batch["key"], "node": nodes, "size": sizes, "bits": bits, "bands": bands}
 
-    return map_arrow(_keyed(docs), run, "doc_id long, id long, key binary, node binary, size long, bits binary, bands array<long>")
+    return map_arrow(_keyed(docs), run, "id long, key binary, node binary, size long, bits binary, bands array<long>")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    known = F.col("doc_id").cast("long")
-    return docs.select(known.alias("doc_id"), F.coalesce(known, F.lit(2**63 - 1)).alias("id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("key"), "text")
+def _id_of() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
 
 
-def _checked_links(docs: DataFrame, named: DataFrame, shingle_words: int, share: float) -> DataFrame:
-    """(a, b) of nodes that are alike by their exact shingle sets, as far as they have the same ``root`` in ``named``.
+def _key_of() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
-    A root with many nodes is dealt into parts that are checked two by two; a task holds one pair of parts at a time.
-    """
-    totals = named.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("n")).filter("n > 1")
-    parts = F.greatest(F.ceil(F.col("total") / PART_SHINGLES), F.ceil(F.col("n") / PART_SETS)).cast("int")
-    sized = named.join(totals.select("root", parts.alias("parts")), "root")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    sized = materialize(sized.select("root", "node", "size", "id", "key", "parts", own.alias("own")), "near-candidates")
-    texts = _keyed(docs).select("id", "key", "text").join(sized.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
-    dealt = sized.join(texts, ["id", "key"]).select("root", "node", "text", "own", F.explode(others).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "node", "text")
-    load = sized.agg(F.sum(F.col("size") * F.greatest(F.lit(1), F.col("parts") - 1))).first()[0] or 0
-    by = ["root", "part_a", "part_b"]
-    dealt = dealt.repartition(max(1, math.ceil(load / PART_SHINGLES / 4)), *by).sortWithinPartitions(*by)
 
-    def links(nodes, sets):
-        found = alike(sets, share)
-        return {"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_id_of().alias("id"), _key_of().alias("key"), "text")
+
+
+def alike_across(sets: list[np.ndarray], few: list[bool], clusters: list, share: float):
+    """(i, j) of sets of different clusters, i of the few and j of the others, whose Jaccard similarity is ``share`` or more; one j of each cluster."""
+    rest = sorted((j for j, own in enumerate(few) if not own and len(sets[j])), key=lambda j: len(sets[j]))
+    if not rest:
+        return
+    values, flat = np.unique(np.concatenate([sets[j] for j in rest]), return_inverse=True)
+    sizes = np.array([len(sets[j]) for j in rest], np.int64)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(values) + 1, np.int32)
+    for i in (i for i, own in enumerate(few) if own and len(sets[i])):
+        n = len(sets[i])
+        low, high = np.searchsorted(sizes, math.floor(n * share), "left"), np.searchsorted(sizes, math.ceil(n / share), "right")
+        if low == high:
+            continue
+        at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+        at = at[values[at] == sets[i]]
+        mark[at] = 1
+        both = np.add.reduceat(mark[flat[starts[low] : starts[high - 1] + sizes[high - 1]]], starts[low:high] - starts[low])
+        mark[at] = 0
+        met = {clusters[i]}
+        for k in np.flatnonzero(both * (1 + share) >= share * (n + sizes[low:high]) - 1e-9).tolist():
+            j = rest[low + k]
+            if clusters[j] not in met:
+                met.add(clusters[j])
+                yield i, j
+
+
+def _dealt(rows: DataFrame, texts: DataFrame, by: list[str], columns: list[str], links, shingle_words: int) -> DataFrame:
+    """``links(rows, sets)`` of each group of ``rows`` that are equal on ``by``, with the rows' shingle sets; a task holds one group at a time."""
+    load = rows.agg(F.sum("size")).first()[0] or 0
+    spread = rows.join(texts, ["id", "key"]).select(*by, *columns, "text")
+    spread = spread.repartition(max(1, math.ceil(load / PART_SHINGLES / 4)), *by).sortWithinPartitions(*by)
+
+    def found(held, sets):
+        pairs = list(links(held, sets))
+        return {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
 
     def run(batches):
-        at, nodes, sets = None, [], []
+        at, held, sets = None, [], []
         for batch in in_slices(batches):
-            for *key, node, text in zip(batch["root"], batch["part_a"], batch["part_b"], batch["node"], batch["text"], strict=True):
+            for *values, text in zip(*(batch[c] for c in (*by, *columns)), batch["text"], strict=True):
+                key = values[: len(by)]
                 if key != at:
-                    yield links(nodes, sets)
-                    at, nodes, sets = key, [], []
-                nodes.append(node)
+                    yield found(held, sets)
+                    at, held, sets = key, [], []
+                held.append((key[0], *values[len(by) :]))
                 sets.append(np.unique(shingle_hashes(text or "", shingle_words, 1)[:, 0]))
-        yield links(nodes, sets)
+        yield found(held, sets)
+
+    return map_arrow(spread, run, "a binary, b binary")
+
 
-    return map_arrow(dealt, run, "a binary, b binary")
+def _parts(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Adds ``parts``, how many parts of bounded size the rows of a ``root`` make, and the row's ``part``; roots with fewer than ``least`` rows go."""
+    parts = F.greatest(F.ceil(F.sum("size") / PART_SHINGLES), F.ceil(F.count("*") / PART_SETS), F.lit(1)).cast("int")
+    sizes = rows.groupBy("root").agg(parts.alias("parts"), F.count("*").alias("members")).filter(F.col("members") >= least)
+    joined = hot_join(rows, sizes, "root", "members", rows.count())
+    return joined.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("members")
 
 
-def checked_groups(docs: DataFrame, shingle_words: int, words: int, budget: int, block_bits: int, tables: int, share: float) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of rows linked by exact Jaccard similarities of ``share`` or more.
+def _checked_links(docs: DataFrame, named: DataFrame, shingle_words: int, share: float) -> DataFrame:
+    """(a, b) of nodes that are alike by their exact shingle sets, as far as they have the same ``root`` in ``named``.
+
+    A root's nodes are dealt into parts of bounded size. Every part is linked within itself; one node of each cluster so found goes on
+    to the next level, which is dealt and linked in the same way, until a root fits in one part or hardly shrinks. A link not
+    found by then joins two different clusters, so one of its ends lies outside the root's largest cluster: such nodes are held
+    against all nodes of other clusters, part by part. A large group of near copies costs a few copies of its texts, not one for each part.
+    """
+    members = materialize(_parts(named.select("root", "node", "size", "id", "key")), "near-candidates")
+    texts = _keyed(docs).select("id", "key", "text").join(members.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    texts = materialize(texts, "near-texts")
 
-    Fingerprints and bands only say which nodes may be alike; their groups are then checked and built anew from what holds.
+    def within(rows, sets):
+        found = alike(sets, share)
+        reached = {j for _, j in found}
+        yield from ((rows[i][1], rows[j][1]) for i, j in found)
+        if rows and rows[0][2] > 1:  # the first node of each cluster, without a partner
+            yield from ((row[1], None) for i, row in enumerate(rows) if i not in reached)
+
+    links, level, n, before = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), members, members.count(), None
+    while n and (before is None or n < 0.9 * before):
+        found = materialize(_dealt(level, texts, ["root", "part"], ["node", "parts"], within, shingle_words), "near-links")
+        links = links.unionByName(found.filter("b is not null"))
+        ahead = found.filter("b is null").select(F.col("a").alias("node"))
+        level = materialize(_parts(level.drop("parts", "part").join(ahead, "node")), "near-level")
+        before, n = n, level.count()
+    large = members.filter("parts > 1")
+    return links if large.isEmpty() else links.unionByName(_links_across(large, texts, links, shingle_words, share))
+
+
+def _links_across(members: DataFrame, texts: DataFrame, links: DataFrame, shingle_words: int, share: float) -> DataFrame:
+    """(a, b) of alike nodes of one root that ``links`` leaves in different clusters."""
+    clusters = connected_components(links).withColumnRenamed("root", "cluster")
+    rows = materialize(members.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "near-clusters")
+    sizes = rows.groupBy("root", "cluster").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("root").agg(F.max(F.struct("n", "cluster")).getField("cluster").alias("largest"), F.sum("n").alias("members"))
+    outside = hot_join(rows, largest, "root", "members", rows.count()).filter("cluster != largest")
+    few = _parts(outside.select("root", "node", "size", "id", "key", "cluster", F.col("parts").alias("all_parts")), 1)
+    few = materialize(few.withColumnsRenamed({"part": "few_part", "parts": "few_parts"}), "near-outside")
+    in_roots = few.groupBy("root").agg(F.first("few_parts").alias("few_parts"))
+    in_roots = in_roots.join(rows.groupBy("root").agg(F.count("*").alias("members")), "root")
+    every = hot_join(rows, in_roots, "root", "members", rows.count())
+    columns = ["root", "few_part", "part", "size", "id", "key", "node", "cluster", "few"]
+    one = few.select("*", F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("part"), F.lit(True).alias("few")).select(columns)
+    other = every.select("*", F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1)).alias("few_part"), F.lit(False).alias("few")).select(columns)
+
+    def across(rows, sets):
+        for i, j in alike_across(sets, [r[3] for r in rows], [r[2] for r in rows], share):
+            yield rows[i][1], rows[j][1]
+
+    return materialize(_dealt(one.unionByName(other), texts, ["root", "few_part", "part"], ["node", "cluster", "few"], across, shingle_words), "near-across")
+
+
+def kept_keys(docs: DataFrame, shingle_words: int, words: int, budget: int, least_bits: int, tables: int, share: float) -> DataFrame:
+    """(id, key, many): of every group of near copies the smallest id and text hash, and whether several rows have both.
+
+    Groups are rows linked by exact Jaccard similarities of ``share`` or more. Fingerprints and bands only say which nodes may be
+    alike; their groups are then checked and built anew from what holds. A null id counts as the largest.
     """
     marked = materialize(_marked(docs, shingle_words, words), "near-sets")
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("size").alias("size"), F.min(F.struct("id", "key", "bits", "bands")).alias("first"))
-    nodes = materialize(nodes.select("node", "low", "size", "first.bits", "first.id", "first.key", "first.bands"), "near-nodes")
-    links = trie_links(nodes.select("bits").distinct(), words, budget, block_bits, tables).unionByName(band_links(nodes))
-    groups = connected_components(links).select(F.col("node").alias("bits"), "root")
-    named = nodes.join(groups, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    nodes = marked.groupBy("node").agg(F.max("size").alias("size"), F.min(F.struct("id", "key", "bits", "bands")).alias("first"))
+    nodes = materialize(nodes.select("node", "size", "first.bits", "first.id", "first.key", "first.bands"), "near-nodes")
+    distinct = nodes.select("bits").distinct()
+    candidates = trie_links(distinct, words, budget, even_blocks(nodes.count(), 64 * words, tables, least_bits)).unionByName(band_links(nodes))
+    groups = connected_components(candidates).withColumnRenamed("node", "bits")
+    named = materialize(nodes.drop("bands").join(groups, "bits", "left").withColumn("root", F.coalesce("root", "bits")).drop("bits"), "near-named")
     groups = connected_components(_checked_links(docs, named, shingle_words, share))
-    rooted = nodes.select("node", "low").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted, "near-groups")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_node = rooted.join(lowest, "root").select("node", "component_id")
-    return marked.join(of_node, "node").select("doc_id", "component_id")
+    rooted = nodes.select("node", F.struct("id", "key").alias("first")).join(groups, "node", "left")
+    first = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.id", "first.key")
+    several = marked.groupBy("id", "key").agg(F.count("*").alias("n")).filter("n > 1").select("id", "key", F.lit(True).alias("many"))
+    return first.join(several, ["id", "key"], "left").select("id", "key", F.coalesce("many", F.lit(False)).alias("many"))
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, budget: int = 46, block_bits: int = 14, tables: int = 32, share: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, budget: int = 46, least_bits: int = 14, tables: int = 32, share: float = 0.8) -> DataFrame:
     """Keep the row with the smallest id of every group of near copies; columns stay as they are.
 
-    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, worked out
-    exactly; groups are what such pairs link. Which pairs are looked at is found in two ways. 256-bit fingerprints: at 0.8
-    (cosine 0.89) two differ in 39 bits on average, with a standard deviation of 6, and unrelated ones in 128; the
-    budget of 46 bits keeps 9 of 10 pairs at 0.8. A pair is compared where it agrees on one of 32 blocks of 14 bits:
-    97 of 100 pairs at 0.8, nearly all at 0.9. MinHash bands of four: 24 of them miss 3 in a million pairs at 0.8. Of rows that share the smallest id, one of each text stays; rows
-    without an id stay, one of each text.
+    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, worked out exactly;
+    groups are what such pairs link. Which pairs are looked at is found in two ways. 256-bit fingerprints: at 0.8 (cosine 0.89) two
+    differ in 39 bits on average, with a standard deviation of 6, and unrelated ones in 128; the budget of 46 bits keeps 9 of 10
+    pairs at 0.8. A pair is compared where it agrees on one of 32 blocks; blocks have 14 bits, and more in tables of over 65,536 texts, so that
+    unrelated texts seldom meet. MinHash bands find what blocks miss, at every size: 40 bands of six minima miss 5 in a million pairs at 0.8.
+
+    A row without an id counts as the last of its group. Rows that share the kept id stay if they share the kept text, once.
     """
-    found = checked_groups(docs.select("doc_id", "text"), shingle_words, words, budget, block_bits, tables, share)
-    keepers = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter("doc_id is not null").join(keepers, F.col("doc_id") == F.col("_keep"), "left_semi")
-    same = F.sha2(F.coalesce("text", F.lit("")), 256)
-    kept = named.withColumn("_text", same).dropDuplicates(["doc_id", "_text"])
-    unnamed = docs.filter("doc_id is null").withColumn("_text", same).dropDuplicates(["_text"])
-    return kept.unionByName(unnamed).drop("_text")
+    keys = kept_keys(docs.select("doc_id", "text"), shingle_words, words, budget, least_bits, tables, share)
+    id_, key_, many_ = free_names(docs, "id", "key", "many")
+    rows = docs.withColumns({id_: _id_of(), key_: _key_of()})
+    rows = rows.join(keys.select(F.col("id").alias(id_), F.col("key").alias(key_), F.col("many").alias(many_)), [id_, key_])
+    kept = rows.filter(~F.col(many_)).unionByName(rows.filter(many_).dropDuplicates([id_, key_]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,8 +2,11 @@
 
 A pre-token is a run of characters that aren't ASCII white space, after a word mark. The best segmentation of a
 word into vocabulary pieces depends, at each place, only on the characters before it; words that share a prefix
-share these forward scores. So the distinct pre-tokens of a task go into one trie, a node's best score and piece
+share these forward scores. So the distinct pre-tokens of a batch go into one trie, a node's best score and piece
 count are worked out once, and a node that ends a word holds that word's count. Documents then only look words up.
+Words enter the trie in sorted order, which is its depth-first order: only the branch to the last word is held, so
+memory goes with the longest word, not with the number of nodes. A node also holds where in the trie of pieces the pieces
+stand that are still open there, so each new character costs a step for each open piece.
 
 The vocabulary is that of a public tokenizer file (a parameter). The file ranks its pieces but has no
 probabilities; a piece's score is Zipf's law over its rank. Characters that no piece covers cost one token for
@@ -17,14 +20,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, in_slices, map_arrow, table
+from .common import arrow_slices, distinct_words, map_batches, sums, table
 
 MARK = "▁"
-#: Words whose counts a task keeps; then the trie begins anew. Bounds memory, changes no count.
-KEPT_WORDS = 300_000
+#: Words whose counts a task keeps from batch to batch, and their longest; it then begins anew. Bounds memory, changes no count.
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
 
 
 def zipf_pieces(model_path: str) -> dict[str, float]:
@@ -37,42 +41,57 @@ def zipf_pieces(model_path: str) -> dict[str, float]:
     return {p: -math.log(r + 3) - total for r, p in enumerate(pieces)}
 
 
+def piece_trie(pieces: dict[str, float]) -> dict[str, list]:
+    """The vocabulary by characters: character -> [score of the piece that ends here or None, what follows]."""
+    top: dict[str, list] = {}
+    for piece, score in pieces.items():
+        below, node = top, None
+        for char in piece:
+            node = below.setdefault(char, [None, {}])
+            below = node[1]
+        if node is not None:
+            node[0] = score
+    return top
+
+
 class PreTokenTrie:
-    """Forward scores of prefixes, each worked out once."""
+    """Token counts and scores of words; those of a shared prefix are worked out once for each sorted batch of words."""
 
     def __init__(self, pieces: dict[str, float], byte_penalty: float = 10.0):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.pieces = piece_trie(pieces)
         self.byte_score = min(pieces.values(), default=0.0) - byte_penalty
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.score, self.count = [0.0], [0]
-        self.ends: dict[str, tuple[int, float]] = {}
-
-    def insert(self, word: str) -> None:
-        text, node, path = MARK + word, 0, [0]
-        pieces, longest, score, count, children = self.pieces, self.longest, self.score, self.count, self.children
-        for end in range(1, len(text) + 1):
-            char = text[end - 1]
-            below = children[node].get(char)
-            if below is None:
-                bytes_ = len(char.encode("utf-8", "surrogatepass"))
-                best, tokens = score[node] + self.byte_score * bytes_, count[node] + bytes_
-                for start in range(max(0, end - longest), end):
-                    gain = pieces.get(text[start:end])
-                    if gain is not None:
-                        before = path[start]
-                        s, c = score[before] + gain, count[before] + 1
-                        if s > best or (s == best and c < tokens):
-                            best, tokens = s, c
-                below = children[node][char] = len(children)
-                children.append({})
-                score.append(best)
-                count.append(tokens)
-            node = below
-            path.append(node)
-        self.ends[word] = (count[node], score[node])
+
+    def count(self, words: list[str]) -> dict[str, tuple[int, float]]:
+        """word -> (tokens, score) of distinct words."""
+        pieces, byte_score = self.pieces, self.byte_score
+        # The branch to the last word: for each node its best score and count, and the open pieces: what may follow, score and count before.
+        branch: list[tuple[float, int, list]] = [(0.0, 0, [])]
+        ends, last = {}, ""
+        for word in sorted(words):
+            text = MARK + word
+            same = 0
+            for x, y in zip(text, last, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del branch[same + 1 :]
+            for char in text[same:]:
+                score, count, open_ = branch[-1]
+                n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+                best, tokens, still = score + byte_score * n, count + n, []
+                for follows, s, c in (*open_, (pieces, score, count)):
+                    below = follows.get(char)
+                    if below is not None:
+                        own, deeper = below
+                        if own is not None:
+                            own += s
+                            if own > best or (own == best and c + 1 < tokens):
+                                best, tokens = own, c + 1
+                        if deeper:
+                            still.append((deeper, s, c))
+                branch.append((best, tokens, still))
+            ends[word], last = (branch[-1][1], branch[-1][0]), text
+        return ends
 
 
 def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -83,24 +102,21 @@ def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         model_path = str(public_tokenizers.path("piece_bpe_32k.model"))
 
     def run(batches):
-        trie = PreTokenTrie(zipf_pieces(model_path))
-        for batch in in_slices(batches):
-            split = [WORDS.findall(t or "") for t in batch["text"]]
-            ends = trie.ends
-            if len(trie.children) > 4 * KEPT_WORDS or len(ends) > KEPT_WORDS:
-                trie.clear()
-                ends = trie.ends
-            for word in sorted({w for words in split for w in words} - ends.keys()):
-                trie.insert(word)
-            found = [[ends[w] for w in words] for words in split]
-            yield {
-                "doc_id": batch["doc_id"],
-                "n_words": [len(w) for w in split],
-                "n_tokens": [sum(c for c, _ in f) for f in found],
-                "log_prob": [math.fsum(s for _, s in f) for f in found],
-            }
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words long, n_tokens long, log_prob double")
+        trie, known = PreTokenTrie(zipf_pieces(model_path)), {}
+        for batch in arrow_slices(batches):
+            words, codes, offsets = distinct_words(batch.column("text"))
+            words = words.to_numpy(zero_copy_only=False).tolist()
+            if len(known) > KEPT_WORDS:
+                known = {}
+            fresh = [w for w in words if w not in known]
+            found = trie.count(fresh)
+            known.update(item for item in found.items() if len(item[0]) <= KEPT_LENGTH)
+            ends = [found.get(w) or known[w] for w in words]
+            tokens = np.fromiter((c for c, _ in ends), np.int64, len(ends))[codes]
+            scores = np.fromiter((s for _, s in ends), np.float64, len(ends))[codes]
+            yield {"doc_id": batch.column("doc_id"), "n_words": np.diff(offsets), "n_tokens": sums(tokens, offsets), "log_prob": sums(scores, offsets)}
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words long, n_tokens long, log_prob double")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

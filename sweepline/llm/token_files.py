@@ -16,19 +16,24 @@ of their own, ordered by text. Only ``doc_id`` and ``text`` are read. An empty t
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, map_arrow, materialize, new_folder, open_fs, shuffle_partitions, table
+from .common import arrow_slices, distinct_words, gather, map_arrow, map_batches, materialize, new_folder, open_fs, shuffle_partitions, table
 
 # The zstd seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -51,6 +56,8 @@ class TokenWriter:
         self.n_bytes = self.n_tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {ids.max()} does not fit {self.dtype}")
         self.index.append((doc_id or 0, doc_id is None, len(self.frames), self.n_held, len(ids)))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -111,9 +118,19 @@ class TokenReader:
         return (None if null else doc_id), self.ids[first : first + n]
 
 
+# How a word-end tokenizer file splits a text; what it says of a text is then what it says of the text's words in a row.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Letters of ASCII and Latin-1: a word of these is one pre-token, whatever stands around it.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_CHUNKS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: Marks that never join a letter or digit before them; none of them begins a special token.
 _AFTER = ".,;:!?|*%$&#"
 # Byte-level alphabet: printable bytes stand for themselves, the others for 256 and up, in order.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,69 +138,107 @@ _BYTE_CHARS = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerat
 _BYTE_TABLE = {k: v for k, v in _BYTE_CHARS.items() if ord(v) != k}
 
 
-class CachedEncoder(dict):
-    """Encodes texts chunk by chunk and keeps the chunks' ids, as bytes.
-
-    The tokenizer drops white space and no token spans it, so the ids of a text are its chunks' ids in a row.
-    Trailing marks of ``_AFTER`` never join a letter or digit before them, so they're encoded apart.
-    """
-
-    def __init__(self, path: str, kept: int = 600_000):
-        from tokenizers import Tokenizer
+def id_dtype(tokenizer_path: str, end_id: int) -> str:
+    """The narrowest width that holds every id of the file and the end id."""
+    from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+    largest = max([end_id, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()])
+    if end_id < 0 or largest >= 1 << 32:
+        raise ValueError("ids are 0 to 2**32 - 1")
+    return "<u2" if largest < 1 << 16 else "<u4"
 
-    def __missing__(self, chunk: str) -> bytes:
-        word = chunk.rstrip(_AFTER)
-        if word and word != chunk and word[-1].isalnum():
-            ids = self[word] + self[chunk[len(word) :]]
-        else:
-            ids = np.array(self._encode(chunk), "<u4").tobytes()
-        self[chunk] = ids
-        return ids
 
-    def _encode(self, chunk: str) -> list[int]:
-        if _PLAIN.fullmatch(chunk):
-            small = unicodedata.normalize("NFC", chunk).lower().encode().decode("latin-1").translate(_BYTE_TABLE)
-            return [t.id for t in self.tokenizer.model.tokenize(small)]
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+class Encoder:
+    """Encodes batches of texts with a tokenizer file of the tokenizers library.
 
-    def encode(self, text: str, end: int) -> np.ndarray:
-        if len(self) > self.kept:
-            self.clear()
-        ids = b"".join(map(self.__getitem__, _CHUNKS.findall(text)))
-        return np.append(np.frombuffer(ids, "<u4"), np.uint32(end))
-
-
-_ENCODERS: dict[str, CachedEncoder] = {}
+    Where the file drops white space and splits words as ``WORD_NORMALIZER`` and ``WORD_SPLITTER`` say, each distinct word of a batch is
+    encoded once, without the marks that end it, and its ids are kept (at most ``kept`` words); any other file encodes whole texts.
+    """
 
+    def __init__(self, path: str, kept: int = 1_000_000):
+        from tokenizers import Tokenizer
 
-def encoder(path: str) -> CachedEncoder:
+        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        special = [t for t in told.get("added_tokens", []) if any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) or re.search(rf"\s|^[{re.escape(_AFTER)}]|[{re.escape(_AFTER)}]$", t["content"])]
+        whole_model = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.by_word = told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLITTER and told.get("post_processor") is None and whole_model and not special
+
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() and word.isalpha()
+        if plain or _PLAIN.fullmatch(word):
+            small = word.lower() if plain else unicodedata.normalize("NFC", word).lower().encode().decode("latin-1").translate(_BYTE_TABLE)
+            ids = [t.id for t in self.tokenizer.model.tokenize(small)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in a row, with each word's first and number."""
+        if len(self.known) > self.kept:
+            self.known.clear()
+        known = self.known
+        for word in words:
+            if word not in known:
+                known[word] = self._word(word)
+        found = list(map(known.__getitem__, words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text; a null text has none."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        words, codes, offsets = distinct_words(texts)
+        bare = pc.utf8_rtrim(words, characters=_AFTER)
+        # Marks are cut off only after a letter or digit: others may be one pre-token with what stands before them.
+        bare = pc.if_else(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), bare, words)
+        stems, ends = bare.dictionary_encode(), _tails(words, bare).dictionary_encode()
+        named = pa.concat_arrays([stems.dictionary, ends.dictionary]).to_numpy(zero_copy_only=False).tolist()
+        flat, starts, lengths = self._pieces(named)
+        pairs = np.stack([stems.indices.to_numpy(zero_copy_only=False), ends.indices.to_numpy(zero_copy_only=False) + len(stems.dictionary)], axis=1)
+        ids, until = gather(flat, starts, lengths, pairs[codes].ravel())
+        until = np.concatenate([[0], until])[2 * offsets]
+        return [ids[a:b] for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
+
+
+def _tails(words: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows the head of each word."""
+    data, starts = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    first = starts[:-1] + pc.binary_length(heads).to_numpy(zero_copy_only=False)
+    tails, ends = gather(data, first, starts[1:] - first, np.arange(len(words)))
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(tails.tobytes())])
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One for each worker process, so that what it has kept serves the tasks to come."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1) -> DataFrame:
     """Write the files; returns the manifest (part, file, n_docs, n_tokens, n_bytes), written too."""
+    dtype = id_dtype(tokenizer_path, end_id)
 
     def run(batches):
         from pyspark import TaskContext
 
         part, writer, out = TaskContext.get().partitionId(), None, None
         fs, root = open_fs(folder)
-        name, n_docs = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst", 0
+        name, n_docs, end = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst", 0, np.array([end_id], "<u4")
         encode = encoder(tokenizer_path).encode
-        for batch in in_slices(batches):
+        for batch in arrow_slices(batches):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                writer = TokenWriter(out)
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                writer.add(doc_id, encode(text or "", end_id))
-            n_docs += len(batch["doc_id"])
+                writer = TokenWriter(out, dtype)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
+                writer.add(doc_id, np.concatenate([ids, end]))
+            n_docs += len(batch)
         if writer is not None:
             writer.close()
             out.close()
@@ -192,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     order = F.col("doc_id").asc_nulls_first()
     ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
-    return materialize(map_arrow(ranged, run, "part int, file string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    return materialize(map_batches(ranged, run, "part int, file string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +279,7 @@ def token_output(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
         import public_tokenizers
 
         tokenizer_path = str(public_tokenizers.path("word_bpe_49k.json"))
-    folder = new_folder(docs.sparkSession, "token-files")
+    folder = new_folder(docs.sparkSession, "token-files", keep=True)
     return read_token_files(write_token_files(docs, tokenizer_path, folder), folder)
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -76,14 +77,32 @@ def test_token_counts(documents, rows):
 
 def test_trie_scores_do_not_depend_on_order():
     pieces = {"▁a": -1.0, "b": -1.0, "ab": -1.5, "▁": -2.0, "▁ab": -1.9}
-    one, other = token_counts.PreTokenTrie(pieces), token_counts.PreTokenTrie(pieces)
     words = ["ab", "abb", "a", "é", "ba"]
+    trie = token_counts.PreTokenTrie(pieces)
+    one = trie.count(words)
+    assert one == trie.count(words[::-1]) == {w: trie.count([w])[w] for w in words}
+    assert one["ab"] == (1, -1.9) and one["é"][0] == 3
+
+
+def test_trie_of_random_words():
+    rng = np.random.default_rng(5)
+    pieces = {"".join(rng.choice(list("▁abc"), rng.integers(1, 5))): float(-rng.integers(1, 40)) / 4 for _ in range(60)}
+    words = sorted({"".join(rng.choice(list("abcé"), rng.integers(1, 12))) for _ in range(400)})
+    trie = token_counts.PreTokenTrie(pieces)
+    got = trie.count(words)
     for w in words:
-        one.insert(w)
-    for w in reversed(words):
-        other.insert(w)
-    assert one.ends == other.ends
-    assert one.ends["ab"] == (1, -1.9) and one.ends["é"][0] == 3
+        score, tokens = best_segmentation(w, pieces, trie.byte_score)
+        assert got[w][0] == tokens and got[w][1] == pytest.approx(score)
+
+
+def test_a_very_long_word_needs_little_memory():
+    import tracemalloc
+
+    trie = token_counts.PreTokenTrie({"▁": -1.0, "x": -2.0, "xx": -3.0})
+    tracemalloc.start()
+    assert trie.count(["x" * 200_000])["x" * 200_000][0] == 100_001
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
 
 
 def jaccard(a, b):
@@ -154,7 +173,7 @@ def test_trie_join_of_dense_and_random_rows(spark, monkeypatch):
     values = sorted(values)
     monkeypatch.setattr(simhash, "GROUP_ROWS", 8)  # deals even small groups into parts
     nodes = spark.createDataFrame([(bytearray(v.to_bytes(8)),) for v in values], "bits binary")
-    links = simhash.trie_links(nodes, 1, 3, 16, 4)
+    links = simhash.trie_links(nodes, 1, 3, simhash.all_choices(len(values), 64, 3))
     found = {int.from_bytes(r.node): int.from_bytes(r.root) for r in components.connected_components(links).collect()}
     roots = components_of(values, lambda a, b: (a ^ b).bit_count() <= 3)
     assert [found.get(v, v) for v in values] == [values[r] for r in roots]
@@ -227,6 +246,83 @@ def test_all_copies_just_over_the_similarity_are_found(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, 300, 2))
 
 
+def test_large_groups_are_linked_across_parts(spark, monkeypatch):
+    """Chains of clusters whose members meet in different parts: every link counts, also between clusters found apart."""
+    monkeypatch.setattr(simhash, "PART_SETS", 4)
+    monkeypatch.setattr(components, "SPLIT_LINKS", 5)
+    rng = np.random.default_rng(12)
+    docs = []
+    for g in range(3):
+        words = [f"g{g}w{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(14):  # each differs a little from the one before, so that the ends are far apart
+            docs.append(" ".join(words))
+            words = list(words)
+            words[rng.integers(0, 120)] = f"n{rng.integers(0, 10**9)}"
+    shingles = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in docs]
+    pairs = set(plain_alike(shingles, 0.8))
+    roots = components_of(list(range(len(docs))), lambda a, b: (a, b) in pairs)
+    assert len(pairs) < 3 * 14 * 13 / 2 and len(set(roots)) == 3
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.one_of_each_group(table).collect())
+    assert kept == sorted(set(roots))
+
+
+def test_few_against_others():
+    rng = np.random.default_rng(13)
+    base = rng.integers(0, 2**63, 50).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(50) < 0.95], rng.integers(0, 2**63, 2).astype(np.uint64)])) for _ in range(30)]
+    few, clusters = [i % 3 == 0 for i in range(30)], [i % 4 for i in range(30)]
+    plain = [set(x.tolist()) for x in sets]
+    want = {(i, clusters[j]) for i in range(30) for j in range(30) if few[i] and not few[j] and clusters[i] != clusters[j] and len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
+    found = list(simhash.alike_across(sets, few, clusters, 0.8))
+    assert {(i, clusters[j]) for i, j in found} == want and len(found) == len(want) > 5
+
+
+def test_near_copies_of_given_documents(spark):
+    """All pairs of the given documents by their five-word shingles: the rows that exact groups keep stay, and no other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    sets = []
+    for i in ids:
+        words = SPACE.findall(lower_ascii(texts[i]))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    by_shingle, pairs = {}, set()
+    for n, own in enumerate(sets):
+        for s in own:
+            by_shingle.setdefault(s, []).append(n)
+    for near in by_shingle.values():
+        pairs |= {p for p in itertools.combinations(near, 2)} if len(near) < 50 else set()
+    linked = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    root = list(range(len(ids)))
+    for _ in range(len(ids)):
+        before = list(root)
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    want = {ids[r] for r in root}
+    got = {r.doc_id for r in simhash.one_of_each_group(docs).collect()}
+    assert len(linked) > 50 and got <= want | {i for i in ids if not sets[ids.index(i)]}
+    assert len(want - got) <= 0.02 * (len(ids) - len(want)) + 1  # texts without a word share one place
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from sweepline.llm.common import hot_join
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    table = rows.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as v")
+    got = hot_join(rows, table, "k", "n", 5000)
+    assert got.count() == 5000 and got.filter("v != k * 2").count() == 0
+
+
+def test_blocks_lose_no_pair():
+    for n in (10, 10**6, 10**8, 10**11):
+        tables = simhash.all_choices(n, 64, 3)
+        for bits in itertools.combinations(range(0, 64, 7), 3):
+            assert any(all(not any(a <= b < a + w for b in bits) for a, w in chosen) for chosen in tables)
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(links).collect()}
@@ -252,9 +348,37 @@ def test_chunks_encode_like_whole_texts(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = str(public_tokenizers.path(name))
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        encoder = token_files.Encoder(path)
+        assert [x.tolist() for x in encoder.encode(pa.array(["before. ", text, None, text + "'s"]))][1:3] == [want, []]
+        assert encoder.by_word == name.startswith("word")
+
+
+def test_token_files_of_a_tokenizer_that_keeps_white_space(spark, documents, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in token_files.token_output(documents, path).collect()}
+    for doc_id, text in rows.items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[doc_id].n_tokens, got[doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_ids_that_do_not_fit():
+    import io
+
+    import public_tokenizers
+
     path = str(public_tokenizers.path("word_bpe_49k.json"))
-    want = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
-    assert token_files.CachedEncoder(path).encode(text, 1).tolist() == want
+    assert token_files.id_dtype(path, 1) == "<u2" and token_files.id_dtype(path, 70_000) == "<u4"
+    with pytest.raises(ValueError):
+        token_files.id_dtype(path, -1)
+    with pytest.raises(ValueError):
+        token_files.TokenWriter(io.BytesIO()).add(1, np.array([70_000], "<u4"))
 
 
 def test_damaged_frames_are_noticed():

@@ -72,4 +72,14 @@ def test_stages_keep_columns(name, odd_docs, no_docs, labels, items):
 def test_dedup_keeps_one_of_each_text(odd_docs):
     kept = [r.doc_id for r in simhash.one_of_each_group(odd_docs).collect()]
     assert sorted(i for i in kept if i is not None) == [1, 3, 6, 7, 8, 9, 10]
-    assert kept.count(None) == 2  # rows without an id stay, one of each text
+    assert kept.count(None) == 1  # one text has no id in any of its rows
+
+
+@pytest.mark.parametrize("name", ["simhash", "mixing"])
+def test_stages_keep_columns_named_like_their_own(spark, name, labels, items):
+    names = ["_id", "_source", "_size", "_nth", "_time", "p_id", "p_source", "_text", "id", "key", "many", "part", "node", "copies", "rank"]
+    rows = [(i, f"some text number {i} with a few words", "en", "a", 9, *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    out = STAGES[name](docs, labels, items)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()} and out.count() > 0
