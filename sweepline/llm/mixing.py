@@ -3,16 +3,18 @@
 Every document of a source is expected target / source size times in the mix. Within a source the expected
 copies are summed up in order of (size, doc_id); one offset for the source, drawn from its name and a seed, is
 added, and a document is emitted once for each whole number that its stretch of the sum crosses. As every document of a
-source has the same expectation, the sum before a document is its rank times the rate: ranks come from row
-numbers within range partitions plus the counts of the partitions before, so no source meets in one task.
+source has the same expectation, the sum before a document is its rank times the rate: ranks come from places
+in sorted range partitions plus the counts of the partitions before, so no source meets in one task. Rows travel once, with all their
+columns; rows equal in all of the order may stand in any partition, so a row repeated many times is spread too.
 
 Targets share the size of all documents by weight; a target stops at ``most`` times its source's size and what it
 can't take is shared again by weight among the rest: sources sorted by cap / weight stop as long as their
 cap is under their share of what is left.
 
 Nulls: a null text has size 0; documents of size 0 take 0 words. A null source is a source of its own, last in
-order; a null ``doc_id`` sorts first. Repeated rows are documents of their own. Only ``doc_id``, ``text`` and
-``source`` are read by ``mix_plan``. An empty table gives an empty result.
+order; a null ``doc_id`` sorts first. Repeated rows are documents of their own; those that share source, size and id go by
+a hash of their text. Own columns get names that the table doesn't have. Only ``doc_id``, ``text`` and
+``source`` are read by ``mix_plan``. An empty table gives an empty result. Targets are worked out in one task, over a row for each source.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, table
+from .common import free_names, materialize, shuffle_partitions, table
+
+#: Rows (of a source in a range partition) up to which the plan is sent to every task; beyond it, it is joined by a shuffle.
+SENT_ROWS = 200_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -28,7 +33,6 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """(source, source_size) -> (source, source_size, weight, target, rate); one row a source."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -49,59 +53,59 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return out.withColumn("rate", F.least(rate, F.lit(float(most)))).select("source", "source_size", "weight", "target", "rate")
 
 
-def source_offset(seed: int):
+def source_offset(seed: int, source: str = "source") -> Column:
     """A number in [0, 1) from the source's name: 32 bits of its md5."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null")))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken of every row; see the module's text."""
+def _planned(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with five more columns, and their names: id, size, source size, target and copies."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of().alias("size"))
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
-    ranged = materialize(
-        materialize(sized, "mix-sizes").repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id()), "mix-ranges"
-    )
-    counts = ranged.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    id_, source_, size_, hash_, tie, part, place = free_names(docs, "id", "source_name", "size", "text_hash", "tie", "part", "place")
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), source_: F.col("source").cast("string"), size_: size_of(), hash_: F.xxhash64("text")})
+    order = [F.col(source_).asc_nulls_last(), F.col(size_).asc(), F.col(id_).asc_nulls_first(), F.col(hash_), F.col(tie)]
+    ranged = keyed.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    # The low 33 bits of the id are the row's place in its partition.
+    ranged = ranged.drop(hash_, tie).withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged = materialize(ranged, "mix-ranges")
+    counts = ranged.groupBy(F.col(source_).alias("source"), F.col(part).alias("part")).agg(F.count("*").alias("n"), F.sum(size_).alias("words"), F.min(place).alias("first"))
     runs = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(runs), F.lit(0))), "mix-counts")
+    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(runs), F.lit(0)) - F.col("first")), "mix-counts")
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    plan = counts.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        F.col("source").alias("_source"), F.col("part").alias("_part"), "before", "source_size", "target", "rate"
-    )
-    within = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", F.col("doc_id").asc_nulls_first()))
-    ranked = ranged.withColumn("row", within)
-    on = (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source"))
-    rank = F.col("before") + F.col("row")
-    upto = lambda r: F.floor(r * F.col("rate") + source_offset(seed))
-    copies = F.least(upto(rank) - upto(rank - 1), F.lit(most)).cast("long")
-    return ranked.join(plan, on).select(
-        "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    targets = targets.withColumnRenamed("source", "of")
+    plan = counts.join(targets, F.col("source").eqNullSafe(F.col("of"))).select("source", "part", "before", "source_size", "target", "rate")
+    taken = [id_, source_, size_, part, place]
+    names = free_names(docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.lit(0).alias(t) for t in taken)), "plan_source", "plan_part", "before", "source_size", "target", "rate", "copies")
+    plan = plan.toDF(*names[:-1])
+    plan = F.broadcast(plan) if counts.count() <= SENT_ROWS else plan
+    plan_source, plan_part, before, source_size, target, rate, copies = names
+    joined = ranged.join(plan, (F.col(part) == F.col(plan_part)) & F.col(source_).eqNullSafe(F.col(plan_source)))
+    upto = lambda r: F.floor(r * F.col(rate) + source_offset(seed, source_))
+    rank = F.col(before) + F.col(place)
+    return joined.withColumn(copies, F.least(upto(rank + 1) - upto(rank), F.lit(most)).cast("long")), [id_, size_, source_size, target, copies]
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken of every row; see the module's text."""
+    planned, (_, size, source_size, target, copies) = _planned(docs.select("doc_id", "text", "source"), weights, most, seed)
+    return planned.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(size).alias("size"),
+        F.col("source").cast("string").alias("source"),
+        F.col(source_size).alias("source_size"),
+        F.col(target).alias("target"),
+        F.col(copies).alias("copies"),
+        (F.col(copies) * F.col(size)).alias("taken"),
     )
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as many times as its copies.
-
-    Rows that share a ``doc_id`` and a source are planned one by one and emitted in order of their text's size.
-    """
-    plan = mix_plan(docs, weights, most, seed)
-    key = [F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), size_of().alias("_size")]
-    same = Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(0))
-    rows = docs.select("*", *key).withColumn("_nth", F.row_number().over(same))
-    nth = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
-    chosen = plan.withColumn("nth", F.row_number().over(nth)).filter("copies > 0").select(
-        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("nth").alias("p_nth"), "copies"
-    ).withColumnRenamed("copies", "p_copies")
-    on = (
-        F.col("_id").eqNullSafe(F.col("p_id"))
-        & F.col("_source").eqNullSafe(F.col("p_source"))
-        & (F.col("_size") == F.col("p_size"))
-        & (F.col("_nth") == F.col("p_nth"))
-    )
-    times = F.explode(F.sequence(F.lit(1), F.col("p_copies").cast("int")))
-    return rows.join(chosen, on).withColumn("_time", times).select(*[docs[c] for c in docs.columns])
+    """The mix itself: rows of ``docs``, each as many times as its copies."""
+    planned, (*_, copies) = _planned(docs, weights, most, seed)
+    (time,) = free_names(planned, "time")
+    times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return planned.filter(F.col(copies) > 0).withColumn(time, times).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
