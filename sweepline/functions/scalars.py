@@ -42,6 +42,18 @@ def format_6f(c: Column | str) -> Column:
     return F.when(c.isNull() | F.isnan(c), "nan").when(c == INFINITIES[0], "inf").when(c == INFINITIES[1], "-inf").otherwise(text)
 
 
+def float_text(c: Column | str) -> Column:
+    """A double with all its digits: plain from 1e-4 up to 1e16, else ``d.ddde-XX``; null stays null."""
+    c = F.col(c) if isinstance(c, str) else c
+    text, size = c.cast("string"), F.abs(c)
+    plain = F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    scientific = F.concat(digits, F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
+    other = F.when(F.isnan(c), "nan").when(c == INFINITIES[0], "inf").when(c == INFINITIES[1], "-inf").when(c == 0, text)
+    return F.coalesce(other, F.when((size >= 1e-4) & (size < 1e16), plain).when(c.isNotNull(), scientific))
+
+
 def bars_per_year(timeframe: Column | str) -> Column:
     """Bars in a year of a timeframe such as ``4h``; unknown units count as 252 days."""
     text = F.lower(F.trim(timeframe))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import float_text
+
 PRICES = ("open", "high", "low", "close")
 
 
@@ -34,8 +36,8 @@ def normalize_bars(frame: DataFrame, symbol: str | Column, ts: str) -> DataFrame
 
 
 def data_fingerprint(bars: DataFrame, *keys: str) -> DataFrame:
-    """``count:last timestamp:last close`` of each series."""
-    text = F.concat_ws(":", F.count("*").cast("string"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss"), F.format_string("%.6f", F.max_by("close", "ts")))
+    """``count:last timestamp:last close`` of each series, the close with all its digits: it is part of the cache key."""
+    text = F.concat_ws(":", F.count("*").cast("string"), F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss"), float_text(F.max_by("close", "ts")))
     return bars.groupBy(*keys).agg(text.alias("fingerprint"))
 
 

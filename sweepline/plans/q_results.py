@@ -123,13 +123,12 @@ def run_id_format(spark, d):
 @query(
     "alert_message",
     f"""{RES} SELECT collection, symbol, timeframe, '🚨 QUANT SIGNAL: ' || symbol || ' 📊' || chr(10) || 'Strategy: ' || strategy || chr(10) || 'Timeframe: ' || timeframe || chr(10)
-    || '📈 Sharpe: ' || CASE WHEN isnan(sharpe) THEN 'NaN' ELSE printf('%.3f', trunc(sharpe * 1000) / 1000) END || chr(10) || '📊 Sortino: ' || printf('%.3f', trunc(sortino * 1000) / 1000) || chr(10) || '⚖️ Calmar: ' || coalesce(printf('%.3f', trunc(calmar * 1000) / 1000), 'N/A') || chr(10) || chr(10)
+    || '📈 Sharpe: ' || CASE WHEN isnan(sharpe) THEN 'NaN' ELSE printf('%.3f', round(sharpe, 3)) END || chr(10) || '📊 Sortino: ' || printf('%.3f', round(sortino, 3)) || chr(10) || '⚖️ Calmar: ' || coalesce(printf('%.3f', round(calmar, 3)), 'N/A') || chr(10) || chr(10)
     || 'Price: {{close}}' || chr(10) || 'Time: {{timenow}}' || chr(10) || 'Action: {{strategy.order.action}}' || chr(10) || 'Qty: {{strategy.order.contracts}}' || chr(10) || chr(10) || '#QuantTrading #' || symbol || ' #' || strategy AS message
     FROM (SELECT *, row_number() OVER (PARTITION BY collection, symbol, timeframe ORDER BY metric_value DESC, ordinal) AS n FROM results) WHERE n = 1 AND metric_value > 0""".replace("{{", "{").replace("}}", "}"),
 )
 def alert_message(spark, d):
-    cut = {c: F.when(~F.isnan(c), (F.col(c) * 1000).cast("long") / 1000).otherwise(F.col(c)) for c in ("sharpe", "sortino", "calmar")}
-    best = R.best_positive(X.results(spark, d).withColumns(cut), ["collection", "symbol", "timeframe"])
+    best = R.best_positive(X.results(spark, d), ["collection", "symbol", "timeframe"])
     return best.select("collection", "symbol", "timeframe", R.alert_message().alias("message"))
 
 

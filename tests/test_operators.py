@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,41 @@ def test_entry_runs_without_optional_parts():
     import __spark_entry__ as entry
 
     assert "best_per_job" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fingerprint_keeps_all_digits(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("a", day, 1.234e-7), ("b", day, 4.9e-7), ("c", day, 100.1)]
+    got = {r.symbol: r.fingerprint for r in B.data_fingerprint(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double"), "symbol").collect()}
+    assert got["a"] != got["b"] and float(got["a"].rsplit(":", 1)[1]) == 1.234e-7
+    assert got["c"] == "1:2024-01-01T00:00:00:100.1"
+
+
+def test_float_text(spark):
+    given = [1.0, 100.1, 10190703.97, 1e7, 0.000123, -0.5, 1.234e-7, 1e16, 1.5e300, -2.5e-10, 0.0, float("nan"), float("inf"), float("-inf"), 123456789012345.6, None]
+    assert column(spark, given, S.float_text, "double") == [None if v is None else repr(v) for v in given]
+
+
+def test_health_failures_counts_all(spark):
+    rows = spark.createDataFrame([("a|b",), (None,), ("x",)], "error string").repartition(3)
+    got = summary.health_failures(rows)
+    assert sorted((r.error, r.failures) for r in got.collect()) == [("", 3), ("a b", 3), ("x", 3)]
+    assert summary.health_failures(rows.filter("error = 'none'")).count() == 0
+
+
+def test_alert_rounds_numbers(spark):
+    row = spark.createDataFrame([("S", "st", "1d", 1.2346, -0.0004, None)], "symbol string, strategy string, timeframe string, sharpe double, sortino double, calmar double")
+    text = row.select(R.alert_message().alias("m")).first().m
+    assert "Sharpe: 1.235" in text and "Sortino: -0.000" in text and "Calmar: N/A" in text
+
+
+def test_entry_raises_if_a_dependency_is_missing():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__"
+    from_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if not os.path.isfile(os.path.join(from_root, "sweepline", "llm", "queries.py")):
+        pytest.skip("the corpus subpackage is optional")
+    ran = subprocess.run([sys.executable, "-c", code], cwd=from_root, capture_output=True, text=True, timeout=120)
+    assert ran.returncode and "corpus_pipeline" in ran.stderr
