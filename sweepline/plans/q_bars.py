@@ -39,7 +39,7 @@ def normalize_bars(spark, d):
     return out.select("symbol", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), *r6("open", "high", "low", "close"), "volume")
 
 
-@query("data_fingerprint", f"WITH {X.BARS_SQL} SELECT symbol, count(*)::VARCHAR || ':' || strftime(max(ts), '%Y-%m-%dT%H:%M:%S') || ':' || printf('%.6f', arg_max(close, ts)) AS fingerprint FROM bars GROUP BY symbol")
+@query("data_fingerprint", f"WITH {X.BARS_SQL} SELECT symbol, count(*)::VARCHAR || ':' || strftime(max(ts), '%Y-%m-%dT%H:%M:%S') || ':' || arg_max(close, ts)::VARCHAR AS fingerprint FROM bars GROUP BY symbol")
 def data_fingerprint(spark, d):
     return B.data_fingerprint(X.bars_orders(spark, d), "symbol")
 
@@ -147,10 +147,10 @@ _TRIPS = """, fills AS (
   SELECT *, sum(CASE WHEN h = 1 AND h_before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, combo_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS trade FROM drawn
 ), trips AS (
   SELECT symbol, combo_id, trade::BIGINT AS trade, min(ts) AS entry_time, max(ts) AS exit_time, arg_min(close, ts) AS entry_price, arg_max(close, ts) AS exit_price
-  FROM fills WHERE h <> h_before GROUP BY symbol, combo_id, trade HAVING count(*) = 2 AND trade <= 50)"""
+  FROM fills WHERE h <> h_before GROUP BY symbol, combo_id, trade HAVING count(*) = 2)"""
 
 
-@query("trades_log", f"{EV}{_TRIPS} SELECT symbol, combo_id, trade, strftime(entry_time, '%Y-%m-%dT%H:%M:%S') AS entry_time, strftime(exit_time, '%Y-%m-%dT%H:%M:%S') AS exit_time, {r6_sql('entry_price', 'exit_price')}, round(exit_price - entry_price, 6) AS profit FROM trips")
+@query("trades_log", f"{EV}{_TRIPS} SELECT symbol, combo_id, trade, strftime(entry_time, '%Y-%m-%dT%H:%M:%S') AS entry_time, strftime(exit_time, '%Y-%m-%dT%H:%M:%S') AS exit_time, {r6_sql('entry_price', 'exit_price')}, round(exit_price - entry_price, 6) AS profit FROM trips WHERE trade <= 50")
 def trades_log(spark, d):
     trips = P.trades_log(X.evaluated(spark, d), X.KEYS)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
@@ -162,7 +162,7 @@ def trades_log(spark, d):
     f"{EV}{_TRIPS}, lists AS (SELECT symbol, combo_id, count(*) AS trades, list(struct_pack(e := entry_price, x := exit_price) ORDER BY trade) AS l FROM trips GROUP BY ALL) SELECT symbol, combo_id, trades::INTEGER AS trades, round(list_reduce(list_prepend(struct_pack(e := 10000000.0::DOUBLE, x := 0.0::DOUBLE), l), lambda c, t: struct_pack(e := c.e - floor(c.e / (t.e * 1.001)) * t.e * 1.001 + floor(c.e / (t.e * 1.001)) * t.x * 0.999, x := 0.0::DOUBLE)).e, 4) AS cash FROM lists",
 )
 def whole_share_equity(spark, d):
-    trips = P.trades_log(X.evaluated(spark, d), X.KEYS)
+    trips = P.trades_log(X.evaluated(spark, d), X.KEYS, limit=None)
     out = P.whole_share_equity(trips, X.KEYS, cash=10_000_000.0)
     return out.select("symbol", "combo_id", "trades", F.round("cash", 4).alias("cash"))
 

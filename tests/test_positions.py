@@ -89,3 +89,11 @@ def test_whole_share_equity_over_more_than_fifty_trips(spark):
         cash += shares * ((101.0 + 2 * t) * 0.999 - (100.0 + 2 * t) * 1.001)
     assert got.trades == trips and abs(got.cash - cash) < 1e-3
     assert P.trades_log(done, ["k"]).count() == 50
+
+
+def test_query_folds_every_trip(spark, data):
+    from sweepline.plans import registry
+
+    folded = {(r.symbol, r.combo_id): r.trades for r in registry.QUERIES["whole_share_equity"](spark, data).collect()}
+    counted = {(r.symbol, r.combo_id): r.trades for r in registry.QUERIES["trade_count"](spark, data).collect()}
+    assert folded == counted
