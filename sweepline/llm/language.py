@@ -14,6 +14,7 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,10 @@ SAMPLE_ROWS = 12_000
 #: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
 SWITCH = 12.0
-LETTER_WORDS = re.compile(r"[^\W\d_]+")
+# Word characters that are neither letters nor decimal digits: numerals such as ½, ² and Ⅷ.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: A run of letters (Unicode category L).
+LETTER_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 # Code point ranges of scripts.
 SCRIPTS = {
@@ -114,7 +118,8 @@ def viterbi(ids: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np
     starts = np.concatenate([[0], np.cumsum(alive)])
     for column, k in enumerate(order):
         flat[starts[: lengths[column]] + column] = ids[k]
-    back = np.zeros((len(flat), n_states), np.int8)
+    number = np.min_scalar_type(n_states)
+    back = np.zeros((len(flat), n_states), number)
     state = np.zeros((len(ids), n_states))
     states = np.arange(n_states)
     for t in range(steps):
@@ -128,7 +133,7 @@ def viterbi(ids: list[np.ndarray], scores: np.ndarray, switch: float) -> list[np
             s = np.where(stay, s, top[:, None])
         s = s + scores[flat[a : a + n]]
         state[:n] = s - s.max(1, keepdims=True)
-    label = np.zeros(len(flat), np.int8)
+    label = np.zeros(len(flat), number)
     now = state.argmax(1)
     for t in range(steps - 1, -1, -1):
         n, a = alive[t], starts[t]

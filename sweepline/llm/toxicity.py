@@ -1,12 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>) over the distinct hashed terms of a text: linear weights
-for single terms, factors for what two terms say together. Terms are lower-cased words and letter-only words.
-The machine is fitted in numpy by AdaGrad on a bounded sample of labelled rows (``SAMPLE_ROWS``, by a hash of the
-id); scoring covers every row in Spark tasks.
+for single terms, factors for what two terms say together. Terms are runs of letters, lower-cased.
+The machine is fitted in numpy by AdaGrad on a bounded sample of labelled rows (``SAMPLE_ROWS`` ids by a hash of the
+id, then so many of their different texts by a hash of id and text, chosen in Spark); scoring covers every row in Spark tasks.
 
 Nulls: a null text is an empty one and gets the score of no terms; a null ``doc_id`` is passed on, is not held out
-and never a training row; a null label isn't a label. Repeated rows each give a row. Only ``doc_id`` and ``text``
+and never a training row; a null label isn't a label. Repeated rows each give a row and are learned from once. Only ``doc_id`` and ``text``
 are read, of the labels ``doc_id`` and ``toxic``. With no labelled row the score is 0 for all. An empty table gives no rows.
 """
 
@@ -68,8 +68,8 @@ def _log_odds(rows: list[np.ndarray], labels: np.ndarray, sure: float, least: in
     return np.where((g > sure) & (n >= least), odds, 0.0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, rate: float = 0.1, sure: float = 12.0, least: int = 3, seed: int = 11) -> FactorizationMachine:
-    """AdaGrad on log loss; terms in fewer than ``least`` rows are left out.
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, rate: float = 0.1, sure: float = 12.0, least: int = 3, epochs: int = 12, seed: int = 11) -> FactorizationMachine:
+    """AdaGrad on log loss, ``epochs`` times over all rows; terms in fewer than ``least`` rows are left out.
 
     Linear weights start from the log-odds of terms that are clearly linked with the label; the others start from 0
     and are pulled there more strongly, so that rare words of a few labelled rows gain no weight by chance.
@@ -91,7 +91,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, rate: float =
     gw, gv, gb = np.full(len(kept), 1e-2), np.full((len(kept), rank), 1e-2), 1e-2
     cut = [s[s >= 0] for s in (slots[r] for r in rows)]
     batches = max(1, len(cut) // 128)
-    for _ in range(min(40, max(5, 300 // batches))):
+    for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(cut)), batches):
             own = [cut[i] for i in part]
             sizes = np.fromiter(map(len, own), np.int64, len(own))
@@ -117,17 +117,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     """Fit on labelled rows that aren't held out."""
-    usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic is not null")
+    usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id is not null and toxic is not null").distinct()
     chosen = usable.filter(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_ROWS rows of 12 bytes
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_ROWS rows of 12 bytes
 
     def run(batches):
         for batch in in_slices(batches):
-            yield {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [terms(t or "").tobytes() for t in batch["text"]]}
+            yield {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "text_hash": batch["text_hash"], "terms": [terms(t or "").tobytes() for t in batch["text"]]}
 
-    # Bounded: the rows of at most SAMPLE_ROWS ids, as hashed terms.
-    found = map_arrow(rows, run, "doc_id long, toxic int, terms binary").toPandas().sort_values(["doc_id", "toxic", "terms"])
-    found = found.iloc[: 2 * SAMPLE_ROWS]
+    key = ["doc_id", "text_hash", "toxic"]
+    different = map_arrow(rows, run, "doc_id long, toxic int, text_hash long, terms binary").groupBy(*key).agg(F.first("terms").alias("terms"))
+    # Bounded before it is collected; an id of many texts doesn't crowd out the others.
+    found = different.orderBy(F.xxhash64("doc_id", "text_hash"), *key).limit(SAMPLE_ROWS).toPandas().sort_values(key)
     return fit([np.frombuffer(t, np.int32) for t in found["terms"]], found["toxic"].to_numpy(np.float64).clip(0, 1))
 
 

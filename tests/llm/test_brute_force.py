@@ -410,6 +410,35 @@ def test_toxicity_held_out(spark, data):
     assert all(0 <= r.score <= 1 for r in joined)
 
 
+def test_toxicity_scores_are_plain_pairwise_sums():
+    rng = np.random.default_rng(2)
+    size = 40
+    slots = np.full(1 << toxicity.BUCKET_BITS, -1, np.int32)
+    slots[:size] = np.arange(size)
+    machine = toxicity.FactorizationMachine(-0.3, slots, rng.normal(0, 1, size), rng.normal(0, 0.5, (size, 4)))
+    rows = [rng.choice(size + 5, n, replace=False).astype(np.int32) for n in (0, 1, 2, 7, 30)]
+    for row, got in zip(rows, machine.scores(rows), strict=True):
+        own = [i for i in row if i < size]
+        total = machine.bias + sum(machine.weights[i] for i in own)
+        total += sum(machine.factors[i] @ machine.factors[j] for i, j in itertools.combinations(own, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    """An id of very many texts and repeated rows neither passes the bound nor crowds the others out."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 50)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: seen.update(rows=rows, labels=labels))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(ids[0], f"hot text {k}") for k in range(400)] + [(i, f"text of {i}") for i in ids for _ in range(3)]
+    labels = [(i, i % 2) for i in ids]
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels * 2, "doc_id long, toxic int"))
+    assert len(seen["rows"]) == len(seen["labels"]) <= 50
+    few = [(i, f"word{'abcdefghij'[i % 10]} {'xyz'[i % 3]}") for i in ids[:20]]
+    toxicity.train(spark.createDataFrame(few * 4, "doc_id long, text string"), spark.createDataFrame(labels[:20], "doc_id long, toxic int"))
+    assert len(seen["rows"]) == 20 and seen["labels"].tolist() == [i % 2 for i in ids[:20]]
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(0)
     rows, labels = [], []
@@ -487,6 +516,23 @@ def test_viterbi_equals_all_paths():
         assert value(labels.tolist()) == pytest.approx(best)
 
 
+def test_viterbi_of_many_languages():
+    n = 300
+    scores = np.full((n, n), -5.0)
+    np.fill_diagonal(scores, 5.0)
+    (got,) = language.viterbi([np.arange(n)], scores, 0.5)
+    assert got.tolist() == list(range(n))
+
+
+def test_numerals_are_not_letters(spark, documents):
+    model = language.train(documents)
+    texts = ["½ ² Ⅷ ①", "٣ 12 _", "ª", "the½word and the other²"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.language_id(docs, model).collect()}
+    assert got[0] == got[1] == "und" and got[2] != "und" and got[3] == "en"
+    assert language.LETTER_WORDS.findall("the½word é漢²") == ["the", "word", "é漢"]
+
+
 def test_mixed_text_has_spans(spark, documents):
     model = language.train(documents)
     texts = {}
