@@ -624,3 +624,24 @@ def test_invented_words_score_below_the_words_they_stand_for(spark, documents):
     docs = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
     got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
     assert all(got[i] > got[i + len(texts)] for i in range(len(texts)))
+
+
+def test_words_without_an_id_are_charged_for_their_spelling(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", 4)
+    seen = Counter()
+    for word, n in (("zebra", 3), ("cobra", 2), ("quux", 1)):
+        data = lm_scoring.spelled(word)
+        for i in range(len(data) - 2):
+            seen[data[i] << 16 | data[i + 1] << 8 | data[i + 2]] += n
+        seen[(1 << 24) + lm_scoring.ending_of(word)] += n
+    vocabulary = lm_scoring.Vocabulary(["the", "a"], lm_scoring.Spelling(seen))
+    plain = lm_scoring.Spelling(seen)
+    text = "The zebra a ZEBRA quux, unseen words cobra zebra the ümlaut"
+    for _ in range(2):
+        ids, within = vocabulary.coded(text)
+        words = re.findall(r"\w+", text.lower())
+        unknown = [w for w in words if w not in ("the", "a")]
+        own = {"the": 1, "a": 2}
+        assert ids.tolist() == [own.get(w) or 1 + lm_scoring.N_WORDS + lm_scoring.ending_of(w) for w in words]
+        assert within == sum(plain.log_prob(w) for w in unknown) < 0
+    assert vocabulary.coded("")[0].tolist() == [] and vocabulary.coded("the a")[1] == 0.0
