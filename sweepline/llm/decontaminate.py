@@ -5,7 +5,8 @@ by a Karp-Rabin rolling hash, held against the words themselves). For each pair
 of words not yet used are marked again and again, until none of ``seed_words`` is left; the marked share of the
 item's words is its coverage. As tiles may stand in any order, passages whose sentences were moved are found too.
 
-An item counts as leaked at coverage ``least`` or more. Items under ``seed_words`` words match as a whole.
+An item counts as leaked at coverage ``least`` or more. Items under ``seed_words`` words match as a whole. Such an item
+("yes") is reported wherever it stands, but drops only a document that has no other words.
 The benchmark's seeds are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words of items; a larger benchmark
 takes further passes over the documents.
 
@@ -141,6 +142,11 @@ class Seeds:
         return out
 
 
+    def drops(self, words: list[str], least: float) -> bool:
+        """Whether a document leaks an item that says where it is from: one of ``width`` words, or all of the document's."""
+        return any(c >= least and (len(self.items[k]) >= self.width or n == len(words)) for k, c, n, _ in self.coverage(words))
+
+
 def _blocks(benchmark: DataFrame, width: int):
     """Seeds of the benchmark, in blocks of bounded size; items stream through the driver one block at a time."""
     block, size = [], 0
@@ -180,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: flo
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that leak no item; columns stay as they are."""
+    """The rows of ``docs`` that leak no item, short ones aside (see the module's text); columns stay as they are."""
     import pyarrow as pa
 
     for block in _blocks(benchmark, seed_words):
@@ -189,7 +195,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, le
         def run(batches, seeds=seeds):
             value = seeds.value
             for batch in batches:
-                keep = [not any(c >= least for _, c, _, _ in value.coverage(tokens(t or ""))) for t in batch.column("text").to_pylist()]
+                keep = [not value.drops(tokens(t or ""), least) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

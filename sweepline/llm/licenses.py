@@ -3,8 +3,9 @@
 Templates are licence texts and notices as word sequences. The index holds, for each template, the postings
 (word -> template, position) of its words of highest inverse document frequency; frequencies are counted over
 all documents. A document looks up those of its words that the index has, rarest first. A posting and the word's
-place give the place where the template would start; templates whose postings agree on a start are aligned there,
-word by word, and count if enough of their words stand at their relative positions and every mandatory key
+place give the place where the template would start, and the starts of a template's postings are intersected: short
+wording needs all its postings at one start, longer wording those of two different words within three places.
+Where they agree the template is aligned, word by word, and counts if enough of their words stand at their relative positions and every mandatory key
 phrase stands inside. A phrase of the base list is a template that is mandatory as a whole, so its places are exact.
 
 Nulls: a null text is an empty one (no words, no labels, score 0); a null ``doc_id`` is passed on. Repeated rows
@@ -41,6 +42,11 @@ class Template:
         object.__setattr__(self, "phrases", tuple(split(k) for k in self.keys or (self.text,)))
 
 
+def _short(t: Template) -> bool:
+    """Wording that counts only as a whole."""
+    return t.base or len(t.words) <= 6
+
+
 # The base list of phrases and labels.
 BASE = (
     Template("gpl", "gnu general public license", base=True),
@@ -55,6 +61,7 @@ KNOWN = (
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
+    Template("apache-2.0", "Apache License Version 2.0"),
     Template("gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ("gnu general public license", "version 2 of the license")),
     Template("gpl-2.0", "GNU General Public License version 2"),
     Template("gpl-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu general public license", "version 3 of the license")),
@@ -75,29 +82,59 @@ KNOWN = (
 
 
 class Index:
-    """Postings of every template's rarest words."""
+    """Postings of every template's rarest words: two words of short wording, ``rare`` words of a longer one."""
 
-    def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], rare: int = 4, slack: int = 3, share: float = 0.7):
-        self.templates, self.slack, self.share = templates, slack, share
+    def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], rare: int = 5, agree: int = 2, slack: int = 3, share: float = 0.7):
+        self.templates, self.agree, self.slack, self.share = templates, agree, slack, share
         n = max(1, frequency.get("", 1))
         self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) for t in templates for w in t.words}
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.rarest = [sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 2 if _short(t) else rare] for t in templates]
+        self.postings: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
         for k, t in enumerate(templates):
-            rarest = sorted(set(t.words), key=lambda w: (-self.idf[w], w))[: 1 if len(t.words) <= 6 else rare]
-            for at, w in enumerate(t.words):
-                if w in rarest:
-                    self.postings[w].append((k, at))
+            for w in self.rarest[k]:
+                self.postings[w].append((k, [at for at, other in enumerate(t.words) if other == w]))
+
+    def starts(self, words: list[str]) -> dict[int, set[int]]:
+        """Places where a template may start: its postings there agree.
+
+        Short wording: all of its postings, at the same start. Longer wording: postings of ``agree`` words or more
+        (or all, if it has fewer), at starts that are at most ``slack`` words apart.
+        """
+        places: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in self.postings:
+                places[w].append(i)
+        found: dict[int, list[set[int]]] = defaultdict(list)
+        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+            for k, ats in self.postings[w]:
+                sets = found[k]
+                if _short(self.templates[k]):
+                    if w != self.rarest[k][len(sets)] or sets and not sets[0]:
+                        continue  # a rarer word of it is missing, or no start is left
+                    own = {i - at for i in places[w] for at in ats}
+                    found[k] = [own & sets[0] if sets else own, *sets]
+                else:
+                    sets.append({i - at for i in places[w] for at in ats})
+        out = {}
+        for k, sets in found.items():
+            if _short(self.templates[k]):
+                if len(sets) == len(self.rarest[k]) and sets[0]:
+                    out[k] = sets[0]
+                continue
+            needed = min(self.agree, len(self.rarest[k]))
+            if len(sets) < needed:
+                continue
+            reach = range(-self.slack, self.slack + 1)
+            support = Counter(s for own in sets for s in {i + d for i in own for d in reach})
+            agreed = {s for own in sets for s in own if support[s] >= needed}
+            if agreed:
+                out[k] = agreed
+        return out
 
     def scan(self, words: list[str]) -> tuple[set[tuple[int, int]], dict[str, float]]:
         """Places (start, base template) and the best score by label."""
-        postings = self.postings
-        hits = [(w, i) for i, w in enumerate(words) if w in postings]
-        starts: dict[int, Counter] = defaultdict(Counter)
-        for w, i in sorted(hits, key=lambda h: (-self.idf[h[0]], h[1])):
-            for k, at in postings[w]:
-                starts[k][i - at] += 1
         places, scores = set(), {}
-        for k, found in starts.items():
+        for k, found in self.starts(words).items():
             t = self.templates[k]
             for start in found:
                 score = self._aligned(t, words, start)
@@ -109,7 +146,7 @@ class Index:
 
     def _aligned(self, t: Template, words: list[str], start: int) -> float:
         n = len(t.words)
-        if n <= 6 or t.base:  # short wording: mandatory as a whole
+        if _short(t):  # mandatory as a whole
             return 1.0 if start >= 0 and tuple(words[start : start + n]) == t.words else 0.0
         slack = self.slack
         first = max(0, start - slack)

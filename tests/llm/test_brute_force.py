@@ -52,6 +52,39 @@ def test_long_license_text_with_edits():
     assert "mit" not in index.scan([w for w in words if w != "hereby"])[1]
 
 
+def test_one_posting_is_no_start():
+    """A start needs the postings of two words; text around the rarest word alone is not aligned."""
+    index = licenses.Index(licenses.BASE + licenses.KNOWN, {})
+    k = next(i for i, t in enumerate(index.templates) if t.label == "isc")
+    template, (first, second, *_) = index.templates[k].words, index.rarest[k]
+    a, b = template.index(first), template.index(second)
+    words = ["x"] * 99
+    words[20 + a] = first
+    assert k not in index.starts(words)
+    words[20 + b] = second
+    assert {20} <= index.starts(words)[k]
+    words[20 + b], words[21 + b] = "x", second  # moved by one word
+    assert index.starts(words)[k] == {20, 21}
+    words[21 + b], words[30 + b] = "x", second  # too far apart
+    assert k not in index.starts(words)
+
+
+def test_short_wording_needs_all_its_postings_at_one_start():
+    index = licenses.Index(licenses.BASE + licenses.KNOWN, {})
+    assert index.scan("cc x by cc".split())[0] == set()
+    assert {s for s, _ in index.scan("by cc by x cc by".split())[0]} == {1, 4}
+    assert "apache-2.0" in index.scan("apache license version 2 0 january 2004".split())[1]
+
+
+def test_intersected_starts_hold_all_alignments(documents, rows):
+    """Aligning every template at every place finds no label that the intersection of postings misses."""
+    index = licenses.Index(licenses.BASE + licenses.KNOWN, {})
+    for text in [*list(rows.values())[:60], " ".join(t.text for t in licenses.KNOWN)]:
+        words = licenses.LICENSE_WORDS.findall(lower_ascii(text or ""))[:600]
+        every = {t.label for t in index.templates for s in range(-3, len(words)) if index._aligned(t, words, s)}
+        assert every == set(index.scan(words)[1])
+
+
 def best_segmentation(word, pieces, byte_score):
     text = token_counts.MARK + word
     best = [(0.0, 0)] + [None] * len(text)
@@ -471,6 +504,13 @@ def test_reordered_passages_and_blocks(spark, monkeypatch):
         assert [r.doc_id for r in decontaminate.without_leaks(docs, items).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_a_short_item_drops_only_documents_of_its_words(spark):
+    docs = spark.createDataFrame([(1, "I say yes to this and to that"), (2, "Yes!"), (3, "no"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "yes"), (1, ""), (2, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).orderBy("doc_id").collect()] == [(1, 0), (2, 0)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [1, 3, 4]
+
+
 def plain_tiles(doc, item, width):
     """Greedy string tiling by trying all places again and again."""
     used_d, used_i, out = set(), set(), []
