@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INFINITIES = (float("inf"), float("-inf"))
 
@@ -97,6 +98,26 @@ def json_number(c: Column | str) -> Column:
     return finite(c)
 
 
+def json_safe(c: Column, kind: T.DataType) -> Column:
+    """The value with null for every NaN and infinity in it, inside structs, arrays and map values too."""
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return finite(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: json_safe(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: json_safe(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*(json_safe(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields))
+        return F.when(c.isNotNull(), inner)
+    return c
+
+
+def with_json(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Adds ``columns`` as the text of a JSON object that every parser takes; nulls are written."""
+    safe = F.struct(*(json_safe(F.col(c), rows.schema[c].dataType).alias(c) for c in columns))
+    return rows.withColumn(name, F.to_json(safe, {"ignoreNullFields": "false"}))
+
+
 def search_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in columns)))
 

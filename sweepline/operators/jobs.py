@@ -36,6 +36,13 @@ def strategy_overrides(own: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.select("strategy", merged.alias("grid"), static.alias("static_params"))
 
 
+def grid_of_json(text: Column) -> Column:
+    """A JSON object of parameters as a map of options: a list gives its values, any other value is the one option."""
+    values = F.from_json(text, "map<string,string>")
+    listed = lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>"))
+    return F.transform_values(values, lambda _, v: F.coalesce(listed(v), F.array(v)))
+
+
 def search_space(grid: Column) -> tuple[Column, Column]:
     """(search dimensions: lists of several options, fixed: lists of one); empty lists are dropped."""
     return F.map_filter(grid, lambda _, v: F.size(v) > 1), F.map_filter(grid, lambda _, v: F.size(v) == 1)
@@ -55,6 +62,7 @@ def min_bars_guard(series: DataFrame, min_bars: int = 2000, dof: int = 100) -> D
 
 
 def budgeted_search(grid: DataFrame, trials: int, seed: int = 0) -> DataFrame:
-    """At most ``trials`` combinations of each strategy, by a seeded hash of the combination."""
-    w = Window.partitionBy("strategy").orderBy(F.xxhash64(F.lit(seed), "strategy", "grid_ordinal"), "grid_ordinal")
+    """At most ``trials`` combinations of each strategy, in the order of the md5 of ``seed:strategy:ordinal``."""
+    key = F.md5(F.concat_ws(":", F.lit(seed), "strategy", "grid_ordinal"))
+    w = Window.partitionBy("strategy").orderBy(key, "grid_ordinal")
     return grid.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= trials).drop("_n")

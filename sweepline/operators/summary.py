@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, not_nan
+from ..functions.scalars import finite, float_text, not_nan
 
+# Names of the metrics, in the order that reports show them.
 METRICS = ["sharpe", "sortino", "omega", "tail_ratio", "profit", "pain_index", "max_drawdown", "cagr", "calmar"]
 HIGHLIGHTS = ["sharpe", "omega", "tail_ratio", "pain_index", "profit"]
 TRACKED = ["sharpe", "sortino", "omega", "tail_ratio", "profit", "pain_index"]
@@ -58,16 +59,45 @@ def metric_histogram(rows: DataFrame, metric: str, low: float, high: float, bins
     return rows.filter(value.isNotNull()).groupBy(F.width_bucket(value, F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def run_counters(evaluations: DataFrame) -> DataFrame:
-    """(hit, collection, symbol, timeframe, strategy) of every evaluation -> one row of counters."""
+COUNTERS = ["result_cache_hits", "result_cache_misses", "param_evals", "symbols_tested", "strategies_count"]
+
+
+def _counters() -> list[Column]:
     job = F.struct("collection", "symbol", "timeframe", "strategy")
-    return evaluations.agg(
+    return [
         F.count_if("hit").alias("result_cache_hits"),
         F.count_if(~F.col("hit")).alias("result_cache_misses"),
         F.count_if(~F.col("hit")).alias("param_evals"),
         F.count_distinct(job).alias("symbols_tested"),
         F.count_distinct("strategy").alias("strategies_count"),
+    ]
+
+
+def run_counters(evaluations: DataFrame) -> DataFrame:
+    """(hit, collection, symbol, timeframe, strategy) of every evaluation -> one row of counters."""
+    return evaluations.agg(*_counters())
+
+
+def run_metrics_text(evaluations: DataFrame, at: Column) -> DataFrame:
+    """Metrics text of a run: seconds from its first to its last evaluation, results and counters, a line each."""
+    seconds = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1_000_000
+    row = evaluations.agg(float_text(seconds).alias("run_duration_seconds"), F.count("*").alias("results_count"), *_counters())
+    return counters_text(row, ["run_duration_seconds", "results_count", *COUNTERS])
+
+
+def run_summary(rows: DataFrame, failures: DataFrame) -> DataFrame:
+    """A row for each run: metric, results_count, best value, counters, failures by message, all runs, newest first.
+
+    ``failures``: (run_id, error). Equal messages are counted, so a run's list grows with its kinds of failure alone.
+    """
+    found = rows.groupBy("run_id").agg(
+        F.min("metric").alias("metric"), F.count("*").alias("results_count"), F.max(not_nan("metric_value")).alias("best"), F.max("sharpe").alias("best_sharpe"), F.struct(*_counters()).alias("metrics")
     )
+    kinds = failures.groupBy("run_id", "error").agg(F.count("*").alias("count"))
+    listed = kinds.groupBy("run_id").agg(F.sum("count").alias("failures_count"), F.array_sort(F.collect_list(F.struct("error", "count"))).alias("failures"))
+    runs = rows.select("run_id").distinct().agg(F.sort_array(F.collect_list("run_id"), False)).scalar()  # a name for each run
+    none = F.array().cast("array<struct<error:string,count:bigint>>")
+    return found.join(listed, "run_id", "left").withColumns({"failures_count": F.coalesce("failures_count", F.lit(0)), "failures": F.coalesce("failures", none), "runs": runs})
 
 
 def counters_text(counters: DataFrame, names: list[str]) -> DataFrame:
@@ -107,6 +137,35 @@ def runs_history(runs: DataFrame, current: DataFrame) -> DataFrame:
     return past.select(current.columns).unionByName(current).orderBy(F.col("run_id").desc())
 
 
+def latest_run_status(statuses: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Status rows that the run of the greatest name recorded (column ``recorded_in``), or those of ``run_id``.
+
+    A ``run_id`` that recorded nothing is a LookupError; without any row the result is empty.
+    """
+    if run_id is None:
+        latest = statuses.agg(F.max("recorded_in").alias("recorded_in"))
+        return statuses.join(F.broadcast(latest), "recorded_in", "left_semi")  # one row
+    found = statuses.filter(F.col("recorded_in") == run_id)
+    if found.isEmpty():
+        raise LookupError(f"Run not found: {run_id}")
+    return found
+
+
+def compare_runs(rows: DataFrame, run_ids: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows of each wanted run beside its counts; ``run_ids`` are split at commas, unknown ones left out.
+
+    No id is a ValueError, no known one a LookupError.
+    """
+    wanted = list(dict.fromkeys(r.strip() for r in run_ids.split(",") if r.strip()))
+    if not wanted:
+        raise ValueError("Provide at least one run id")
+    own = rows.filter(F.col("run_id").isin(wanted))
+    if own.isEmpty():
+        raise LookupError("No runs found")
+    counts = summary_counts(own, ["run_id"])
+    return first_rows(own, "run_id", n, ["ordinal"]).join(F.broadcast(counts), "run_id")  # at most a row for each wanted id
+
+
 def run_manifest_status(runs: DataFrame, results: DataFrame, csv_rows: DataFrame, current_run: str) -> DataFrame:
     """Status of every run directory: what its dashboard is, or what it can be rebuilt from."""
     stored = results.select("run_id").distinct().withColumn("stored", F.lit(True))
@@ -124,6 +183,7 @@ def run_manifest_status(runs: DataFrame, results: DataFrame, csv_rows: DataFrame
         .otherwise("failed")
     )
     source = F.when(has_cache, "cache").when(has_csv, "csv")
+    # The messages.
     message = (
         F.when(F.col("status") == "missing_summary", "Summary file missing; unable to rebuild dashboard")
         .when(F.col("status") == "failed", "Unable to rebuild dashboard from summary")

@@ -56,9 +56,12 @@ def grid_cross(spark, d):
     return J.grid_cross(_grids(spark, d)).select("strategy", "grid_ordinal", S.params_json(F.col("params")).alias("params"))
 
 
-@query("params_json", _GRID_SQL)
+@query("params_json", "SELECT o_orderkey AS ordinal, '{\"fast\":\"' || (o_orderkey % 7) || '\",\"slow\":\"' || (o_orderkey % 11) || '\"}' AS params FROM orders")
 def params_json(spark, d):
-    return grid_cross(spark, d)
+    k = F.col("o_orderkey")
+    fast, slow = (F.lit("fast"), (k % 7).cast("string")), (F.lit("slow"), (k % 11).cast("string"))
+    either_order = F.when(k % 2 == 0, F.create_map(*fast, *slow)).otherwise(F.create_map(*slow, *fast))
+    return X.table(spark, d, "orders").select(k.alias("ordinal"), S.params_json(either_order).alias("params"))
 
 
 @query(
@@ -78,9 +81,11 @@ def strategy_override_join(spark, d):
     return out.select("strategy", F.size("grid").alias("n_keys"), F.get(F.col("grid")["a"], F.lit(0)).alias("first_a"), F.size("static_params").alias("n_static"))
 
 
-@query("search_space_split", "SELECT n_name AS strategy, CASE WHEN n_regionkey = 4 THEN '' WHEN n_regionkey = 0 THEN 'b' ELSE 'a,b' END AS search, CASE WHEN n_regionkey = 0 THEN 'a' ELSE '' END AS fixed FROM nation")
+@query("search_space_split", "SELECT n_name AS strategy, CASE WHEN n_regionkey = 4 THEN '' WHEN n_regionkey = 0 THEN 'b' ELSE 'a,b' END AS search, CASE WHEN n_regionkey = 0 THEN 'a,stop' ELSE 'stop' END AS fixed FROM nation")
 def search_space_split(spark, d):
-    search, fixed = J.search_space(F.col("grid"))
+    lists = F.to_json("grid")
+    text = F.concat(F.lit('{"stop":0.1'), F.when(lists != "{}", F.lit(",")).otherwise(""), F.expr("substring(to_json(grid), 2)"))  # a number beside the lists
+    search, fixed = J.search_space(J.grid_of_json(text))
     names = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ",")
     return _grids(spark, d).select("strategy", names(search).alias("search"), names(fixed).alias("fixed"))
 
@@ -117,7 +122,7 @@ def ingest_report(spark, d):
     return B.ingest_report(jobs, bars, "symbol", "timeframe")
 
 
-@query("budgeted_search")
+@query("budgeted_search", f"SELECT strategy, grid_ordinal, params FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY md5('0:' || strategy || ':' || grid_ordinal), grid_ordinal) AS n FROM ({_GRID_SQL})) WHERE n <= 5")
 def budgeted_search(spark, d):
     grid = J.budgeted_search(J.grid_cross(_grids(spark, d)), 5)
     return grid.select("strategy", "grid_ordinal", S.params_json(F.col("params")).alias("params"))

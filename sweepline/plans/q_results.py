@@ -96,11 +96,26 @@ def format_6f(spark, d):
     return X.results(spark, d).select("ordinal", S.format_6f("omega").alias("omega"))
 
 
-@query("json_sanitize", f"{RES} SELECT ordinal, '{{' || CASE WHEN isfinite(sharpe) THEN '\"sharpe\":' || printf('%.6f', sharpe) ELSE '' END || '}}' AS json FROM results")
+_QUARTERS = "floor({0} * 4) / 4"
+
+
+@query(
+    "json_sanitize",
+    f"""{RES} SELECT ordinal, to_json({{'stats': {{'sharpe': CASE WHEN isfinite(sharpe) THEN {_QUARTERS.format("sharpe")} END, 'strategy': strategy}},
+    'values': [CASE WHEN ordinal % 5 <> 0 THEN {_QUARTERS.format("sortino")} END, {_QUARTERS.format("profit")}], 'by': {{'omega': {_QUARTERS.format("omega")}}}}})::VARCHAR AS json
+    FROM (SELECT * REPLACE (CASE WHEN isnan(sharpe) THEN NULL ELSE sharpe END AS sharpe) FROM results)""",
+)
 def json_sanitize(spark, d):
-    shown = F.format_string("%.6f", S.json_number("sharpe"))
-    text = F.concat(F.lit("{"), F.when(S.json_number("sharpe").isNotNull(), F.concat(F.lit('"sharpe":'), shown)).otherwise(""), F.lit("}"))
-    return X.results(spark, d).select("ordinal", text.alias("json"))
+    quarters = lambda c: F.floor(F.col(c) * 4) / 4
+    sharpe = F.when(F.isnan("sharpe"), F.col("sharpe")).otherwise(quarters("sharpe"))
+    sortino = F.when(F.col("ordinal") % 5 == 0, F.lit(float("-inf"))).otherwise(quarters("sortino"))
+    rows = X.results(spark, d).select(
+        "ordinal",
+        F.struct(sharpe.alias("sharpe"), "strategy").alias("stats"),
+        F.array(sortino, quarters("profit")).alias("values"),
+        F.create_map(F.lit("omega"), quarters("omega")).alias("by"),
+    )
+    return S.with_json(rows, ["stats", "values", "by"], "json").select("ordinal", "json")
 
 
 @query("json_parse", f"{RES} SELECT ordinal, CAST(json_extract_string(params, '$.fast') AS INTEGER) AS fast FROM results")

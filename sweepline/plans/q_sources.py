@@ -145,31 +145,37 @@ def route_source(spark, d):
     return L.route_source(both, ["polygon", "binance"]).select("source", "symbol", ts_text(), *r6("close"))
 
 
-def _corporate(name: str, value: str) -> None:
+def _corporate(name: str, action: str, value: str) -> None:
     @query(
         f"norm_{name}",
         f"SELECT p_brand AS symbol, ts, {value} FROM (SELECT p_brand, strftime(l_shipdate, '%Y-%m-%d') AS ts, max(l_quantity) AS {value} FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = CASE WHEN p_brand < 'Brand#3' THEN 'A' ELSE 'R' END GROUP BY ALL)",
     )
     def run(spark, d):
         rows = X.table(spark, d, "lineitem").join(X.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        of = lambda flag: rows.filter(F.col("l_returnflag") == flag).groupBy(F.col("p_brand").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ts")).agg(F.max("l_quantity").alias(value))
-        return L.with_fallback(of("A").filter("symbol < 'Brand#3'"), of("R"))
+        cells = lambda flag: rows.filter(F.col("l_returnflag") == flag).groupBy(F.col("p_brand").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("at")).agg(F.max("l_quantity").alias("v"))
+        series = lambda flag: cells(flag).groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+        own = series("A").filter("symbol < 'Brand#3'").withColumnRenamed("m", name)
+        actions = series("R").select("symbol", F.create_map(F.lit(action), "m").alias("actions"))
+        out = L.norm_events(own.join(actions, "symbol", "full"), name, action, value)
+        return out.select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("ts"), value)
 
 
-_corporate("splits", "ratio")
-_corporate("dividends", "dividend")
+_corporate("splits", "Stock Splits", "ratio")
+_corporate("dividends", "Dividends", "dividend")
 
 
 @query(
     "norm_fundamentals",
-    "SELECT p_brand AS symbol, p_type AS item, strftime(l_shipdate, '%Y') AS period, round(coalesce(sum(CASE WHEN l_quantity > 25 THEN l_extendedprice END), 0), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
+    "SELECT p_brand AS symbol, CASE l_returnflag WHEN 'A' THEN 'income_statement' WHEN 'N' THEN 'balance_sheet' ELSE 'cash_flow' END AS statement, p_type AS item, strftime(l_shipdate, '%Y') AS period, round(coalesce(sum(CASE WHEN l_quantity > 25 THEN l_extendedprice END), 0), 2) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
 )
 def norm_fundamentals(spark, d):
     rows = X.table(spark, d, "lineitem").join(X.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    cells = rows.groupBy("p_brand", "p_type", F.date_format("l_shipdate", "yyyy").alias("period")).agg(F.sum(F.expr("case when l_quantity > 25 then l_extendedprice end")).alias("v"))
-    items = cells.groupBy("p_brand", "p_type").agg(F.map_from_entries(F.collect_list(F.struct("period", "v"))).alias("m"))
-    statements = items.groupBy(F.col("p_brand").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "m"))).alias("items")).withColumn("statement", F.lit("income_statement"))
-    return L.norm_fundamentals(statements).select("symbol", "item", "period", F.round("value", 2).alias("value"))
+    flag = F.col("l_returnflag")
+    rows = rows.withColumn("statement", F.when(flag == "A", "income_statement").when(flag == "N", "balance_sheet").otherwise("cash_flow"))
+    cells = rows.groupBy("p_brand", "statement", "p_type", F.date_format("l_shipdate", "yyyy").alias("period")).agg(F.sum(F.expr("case when l_quantity > 25 then l_extendedprice end")).alias("v"))
+    items = cells.groupBy("p_brand", "statement", "p_type").agg(F.map_from_entries(F.collect_list(F.struct("period", "v"))).alias("m"))
+    statements = items.groupBy(F.col("p_brand").alias("symbol"), "statement").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "m"))).alias("items"))
+    return L.norm_fundamentals(statements).select("symbol", "statement", "item", "period", F.round("value", 2).alias("value"))
 
 
 @query("norm_info", "SELECT c_name AS symbol, 'sector' AS key, c_mktsegment AS value FROM customer UNION ALL SELECT c_name, 'currency', 'USD' FROM customer")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import summary as U
 from . import fixtures as X
 from .base import query
@@ -69,12 +70,9 @@ def run_counters(spark, d):
     return U.run_counters(X.results(spark, d))
 
 
-_NAMES = ["result_cache_hits", "result_cache_misses", "param_evals", "symbols_tested", "strategies_count"]
-
-
-@query("run_counters_prom", f"{RES}, c AS (SELECT {_COUNTERS} FROM results) " + " UNION ALL ".join(f"SELECT 'quant_{n} ' || {n} AS line FROM c" for n in _NAMES))
+@query("run_counters_prom", f"{RES}, c AS (SELECT (max(ordinal) - min(ordinal))::DOUBLE AS run_duration_seconds, count(*) AS results_count, {_COUNTERS} FROM results) " + " UNION ALL ".join(f"SELECT 'quant_{n} ' || {n} AS line FROM c" for n in ["run_duration_seconds", "results_count", *U.COUNTERS]))
 def run_counters_prom(spark, d):
-    return U.counters_text(U.run_counters(X.results(spark, d)), _NAMES)
+    return U.run_metrics_text(X.results(spark, d), F.timestamp_seconds("ordinal"))
 
 
 _RUNS_SQL = """runs AS (
@@ -101,11 +99,6 @@ def runs_history(spark, d):
     return U.runs_history(_runs(spark, d), current)
 
 
-@query("latest_run", f"{RES} SELECT max(run_id) AS run_id FROM results")
-def latest_run(spark, d):
-    return X.results(spark, d).agg(F.max("run_id").alias("run_id"))
-
-
 @query("api_runs_list", f"{RES} SELECT run_id, {_COUNTS} FROM results GROUP BY run_id")
 def api_runs_list(spark, d):
     return U.summary_counts(X.results(spark, d), ["run_id"]).orderBy(F.col("run_id").desc())
@@ -118,11 +111,10 @@ def available_metrics_union(spark, d):
     return U.available_metrics(listed, by_run)
 
 
-@query("compare_runs", f"{RES} SELECT run_id, ordinal, metric_value, n::INTEGER AS row FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ordinal) AS n FROM results WHERE run_id IN ('run-0', 'run-2')) WHERE n <= 10")
+@query("compare_runs", f"{RES}, c AS (SELECT run_id, {_COUNTS} FROM results GROUP BY run_id) SELECT run_id, ordinal, metric_value, n::INTEGER AS row, results, collections, symbols, strategies, timeframes FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ordinal) AS n FROM results WHERE run_id IN ('run-0', 'run-2')) JOIN c USING (run_id) WHERE n <= 10")
 def compare_runs(spark, d):
-    wanted = [r for r in ("run-0", " ", "run-2", "unknown") if r.strip()]
-    rows = X.results(spark, d).filter(F.col("run_id").isin(wanted))
-    return U.first_rows(rows, "run_id", 10, ["ordinal"]).select("run_id", "ordinal", "metric_value", "row")
+    out = U.compare_runs(X.results(spark, d), "run-0, ,run-2,unknown")
+    return out.select("run_id", "ordinal", "metric_value", "row", "results", "collections", "symbols", "strategies", "timeframes")
 
 
 @query("summary_csv_head", f"{RES} SELECT run_id, ordinal, n::INTEGER AS row FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ordinal) AS n FROM results) WHERE n <= 5")
@@ -138,13 +130,14 @@ def compare_matrix(spark, d):
     return U.compare_matrix(X.results(spark, d))
 
 
-_STATUS_SQL = f"""{RES}, {_RUNS_SQL}, s AS (
+_STATUS_WITH = f"""{RES}, {_RUNS_SQL}, s AS (
   SELECT r.run_id, r.run_id IN (SELECT run_id FROM results WHERE run_id <> 'run-2') AS stored, r.run_id IN ('run-2', 'run-6', 'run-11') AS in_csv, r.* EXCLUDE (run_id) FROM runs r
 ), m AS (
   SELECT run_id, CASE WHEN has_dashboard AND NOT has_highlights THEN 'existing_updated' WHEN has_dashboard THEN 'existing' WHEN run_id = 'run-9' THEN 'current_saved'
-    WHEN NOT has_summary THEN 'missing_summary' WHEN metric IS NOT NULL AND (stored OR in_csv) THEN 'created' ELSE 'failed' END AS status, CASE WHEN stored THEN 'cache' WHEN in_csv THEN 'csv' END AS src FROM s)
-SELECT run_id, status, CASE WHEN status = 'created' THEN src END AS source, CASE status WHEN 'missing_summary' THEN 'Summary file missing; unable to rebuild dashboard' WHEN 'failed' THEN 'Unable to rebuild dashboard from summary'
-  WHEN 'created' THEN CASE src WHEN 'csv' THEN 'Dashboard regenerated using CSV fallback' ELSE 'Dashboard regenerated from results cache' END END AS message FROM m"""
+    WHEN NOT has_summary THEN 'missing_summary' WHEN metric IS NOT NULL AND (stored OR in_csv) THEN 'created' ELSE 'failed' END AS status, CASE WHEN stored THEN 'cache' WHEN in_csv THEN 'csv' END AS src FROM s)"""
+
+_STATUS_COLUMNS = """status, CASE WHEN status = 'created' THEN src END AS source, CASE status WHEN 'missing_summary' THEN 'Summary file missing; unable to rebuild dashboard' WHEN 'failed' THEN 'Unable to rebuild dashboard from summary'
+  WHEN 'created' THEN CASE src WHEN 'csv' THEN 'Dashboard regenerated using CSV fallback' ELSE 'Dashboard regenerated from results cache' END END AS message"""
 
 
 def _status(spark, d):
@@ -153,12 +146,18 @@ def _status(spark, d):
     return U.run_manifest_status(_runs(spark, d), stored, in_csv, "run-9")
 
 
-@query("run_manifest_status", _STATUS_SQL)
+@query("run_manifest_status", f"{_STATUS_WITH} SELECT run_id, {_STATUS_COLUMNS} FROM m")
 def run_manifest_status(spark, d):
     return _status(spark, d)
 
 
-@query("run_manifest_join", _STATUS_SQL.replace("SELECT run_id, status, CASE WHEN status = 'created' THEN src END AS source, CASE status", "SELECT status, count(*) AS runs FROM m GROUP BY status --") .split("--")[0])
+@query("latest_run", f"{_STATUS_WITH} SELECT 'run-3' AS recorded_in, run_id, {_STATUS_COLUMNS} FROM m WHERE run_id IN ('run-3', 'run-7', 'run-11')")
+def latest_run(spark, d):
+    written = F.concat(F.lit("run-"), (F.substring_index("run_id", "-", -1).cast("int") % 4).cast("string"))
+    return U.latest_run_status(_status(spark, d).withColumn("recorded_in", written))
+
+
+@query("run_manifest_join", f"{_STATUS_WITH} SELECT status, count(*) AS runs FROM m GROUP BY status")
 def run_manifest_join(spark, d):
     return _status(spark, d).groupBy("status").agg(F.count("*").alias("runs"))
 
@@ -169,7 +168,20 @@ def rebuild_summary(spark, d):
     return U.summary_metrics(rows, ["run_id"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("run_summary_json", f"{RES} SELECT run_id, '{{\"run_id\":\"' || run_id || '\",\"results\":' || count(*) || ',\"strategies\":' || count(DISTINCT strategy) || '}}' AS json FROM results GROUP BY run_id")
+_SUMMARY_SQL = f"""{RES}, c AS (
+  SELECT run_id, min(metric) AS metric, count(*) AS n, floor(max(metric_value) * 4) / 4 AS best, bool_or(isnan(sharpe)) AS no_sharpe, {_COUNTERS} FROM results GROUP BY run_id
+), f AS (
+  SELECT run_id, sum(n)::BIGINT AS n, list({{'error': error, 'count': n}} ORDER BY error) AS failures
+  FROM (SELECT run_id, CASE ordinal % 9 WHEN 0 THEN 'cache | miss' ELSE 'bad window' END AS error, count(*) AS n FROM results WHERE ordinal % 9 < 2 GROUP BY ALL) GROUP BY run_id)
+SELECT run_id, to_json({{'run_id': run_id, 'metric': metric, 'results_count': c.n, 'best': best, 'best_sharpe': CASE WHEN NOT no_sharpe THEN 0 END,
+  'metrics': {{{", ".join(f"'{n}': {n}" for n in U.COUNTERS)}}}, 'failures_count': coalesce(f.n, 0), 'failures': coalesce(failures, []),
+  'runs': (SELECT list(DISTINCT run_id ORDER BY run_id DESC) FROM results)}})::VARCHAR AS json FROM c LEFT JOIN f USING (run_id)"""
+
+
+@query("run_summary_json", _SUMMARY_SQL)
 def run_summary_json(spark, d):
-    counts = U.summary_counts(X.results(spark, d), ["run_id"])
-    return counts.select("run_id", F.to_json(F.struct("run_id", "results", "strategies")).alias("json"))
+    rows, bad = X.results(spark, d), F.col("ordinal") % 9
+    failures = rows.filter(bad < 2).select("run_id", F.when(bad == 0, "cache | miss").otherwise("bad window").alias("error"))
+    summary = U.run_summary(rows, failures).withColumn("best", F.floor(F.col("best") * 4) / 4)
+    columns = ["run_id", "metric", "results_count", "best", "best_sharpe", "metrics", "failures_count", "failures", "runs"]
+    return S.with_json(summary, columns, "json").select("run_id", "json")

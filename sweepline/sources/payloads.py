@@ -107,9 +107,18 @@ def route_source(payloads: DataFrame, sources: list[str]) -> DataFrame:
     return out
 
 
-def with_fallback(primary: DataFrame, fallback: DataFrame, key: str = "symbol") -> DataFrame:
-    """Rows of ``primary``, and of ``fallback`` for symbols that ``primary`` doesn't have."""
-    return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti"))
+def norm_events(payloads: DataFrame, own: str, action: str, value: str) -> DataFrame:
+    """(symbol, <own> map<stamp, double>, actions map<name, map<stamp, double>>) -> (symbol, ts, <value>).
+
+    A symbol's own series counts, or where it is null or empty its ``action``. Stamps become UTC (those without an
+    offset are UTC). A symbol with neither gives no rows; the columns keep their types on an empty result.
+    """
+    series = F.when(F.size(own) > 0, F.col(own)).otherwise(F.try_element_at("actions", F.lit(action)))
+    rows = payloads.select("symbol", F.explode(series).alias("at", value))
+    full = F.when(F.length("at") == 10, F.concat("at", F.lit("T00:00:00"))).otherwise(F.col("at"))
+    zoned = F.when(full.rlike(r"([zZ]|[+-]\d\d:?\d\d)$"), full).otherwise(F.concat(full, F.lit("Z")))
+    ts = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.try_cast("timestamp").cast("timestamp_ntz"))
+    return rows.select("symbol", ts.alias("ts"), F.col(value).cast("double").alias(value))
 
 
 # Keys of a fundamentals snapshot that are kept.

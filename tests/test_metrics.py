@@ -22,8 +22,8 @@ NAN, INF = float("nan"), float("inf")
 @pytest.mark.parametrize(
     ("column", "values", "want"),
     [
-        (lambda: M.omega_ratio(), [0.1, -0.05, 0.02], 2.4),
-        (lambda: M.tail_ratio(), [0.1, -0.05, 0.02, 0.03, -0.04], 1.7917),
+        (lambda: M.omega_ratio(), [0.06, -0.02, 0.04, -0.03], 2.0),
+        (lambda: M.tail_ratio(), [-0.1 + 0.02 * i for i in range(21)], 3.5),
         (lambda: M.sharpe_ratio(), [0.0, 0.0], 0.0),
         (lambda: M.sharpe_ratio(), [0.01, 0.01], INF),
         (lambda: M.sharpe_ratio(), [-0.01, -0.01], -INF),
@@ -57,14 +57,13 @@ def test_sharpe_and_sortino_by_hand(spark):
 
 
 def test_equity_statistics(spark):
-    equity = series(spark, [1.0, 0.95, 1.05, 1.0], "equity")
-    tops = [1.0, 1.0, 1.05, 1.05]
-    rows = [(e / t - 1) for e, t in zip([1.0, 0.95, 1.05, 1.0], tops, strict=True)]
-    assert value(spark, M.pain_index(), rows, "drawdown") == pytest.approx(0.04881, rel=1e-3)
+    equity = series(spark, [2.0, 1.5, 1.8, 2.4, 2.1], "equity")
+    rows = [0.0, -0.25, -0.1, 0.0, -0.125]
+    assert value(spark, M.pain_index(), rows, "drawdown") == pytest.approx(0.475 / 3)
     assert value(spark, M.pain_index(), [0.0, 0.0], "drawdown") == 0.0
     assert math.isnan(value(spark, M.pain_index(), [], "drawdown"))
-    assert value(spark, M.max_drawdown(), rows, "drawdown") == pytest.approx(-0.05)
-    assert equity.agg(M.total_return().alias("v")).first().v == pytest.approx(0.0)
+    assert value(spark, M.max_drawdown(), rows, "drawdown") == pytest.approx(-0.25)
+    assert equity.agg(M.total_return().alias("v")).first().v == pytest.approx(0.05)
     assert series(spark, [1.0, 2.0], "equity").agg(M.cagr().alias("v")).first().v > 0
     assert math.isnan(series(spark, [1.0], "equity").agg(M.cagr().alias("v")).first().v)
     assert math.isnan(series(spark, [1.0, -1.0], "equity").agg(M.cagr().alias("v")).first().v)

@@ -195,3 +195,49 @@ def test_entry_raises_if_a_dependency_is_missing():
         pytest.skip("the corpus subpackage is optional")
     ran = subprocess.run([sys.executable, "-c", code], cwd=from_root, capture_output=True, text=True, timeout=120)
     assert ran.returncode and "corpus_pipeline" in ran.stderr
+
+
+def test_json_of_values_at_any_depth(spark):
+    nan, inf = "double('NaN')", "double('Infinity')"
+    rows = spark.sql(f"select named_struct('a', {nan}, 'b', array(1.5D, {inf})) s, map('k', {nan}, 'm', 2D) m, array(named_struct('x', -{inf})) n, cast(null as struct<a:double>) z, 'NaN' t")
+    assert S.with_json(rows, rows.columns, "json").first().json == '{"s":{"a":null,"b":[1.5,null]},"m":{"k":null,"m":2.0},"n":[{"x":null}],"z":null,"t":"NaN"}'
+
+
+def test_scalars_in_a_grid(spark):
+    texts = ['{"a":[5,10],"b":3,"c":"x","d":[],"e":[7],"f":null}', "{}", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(J.grid_of_json(F.col("t")).alias("g"))
+    search, fixed = J.search_space(F.col("g"))
+    got = rows.select(search.alias("search"), fixed.alias("fixed")).collect()
+    assert (got[0].search, got[0].fixed) == ({"a": ["5", "10"]}, {"b": ["3"], "c": ["x"], "e": ["7"], "f": [None]})
+    assert (got[1].search, got[1].fixed) == ({}, {}) and got[2].search is None
+
+
+def test_corporate_events_fall_back_to_actions(spark):
+    rows = [("OWN", {"2024-01-02T00:00:00-05:00": 2.0}, {"Stock Splits": {"2020-01-01": 9.0}}), ("ACT", {}, {"Stock Splits": {"2024-03-04": 3.0}}), ("DIV", None, {"Dividends": {"2024-03-04": 3.0}}), ("NONE", None, None)]
+    frame = spark.createDataFrame(rows, "symbol string, splits map<string,double>, actions map<string,map<string,double>>")
+    got = L.norm_events(frame, "splits", "Stock Splits", "ratio")
+    assert {(r.symbol, r.ts, r.ratio) for r in got.collect()} == {("OWN", datetime.datetime(2024, 1, 2, 5), 2.0), ("ACT", datetime.datetime(2024, 3, 4), 3.0)}
+    empty = L.norm_events(frame.filter("false"), "splits", "Stock Splits", "ratio")
+    assert empty.count() == 0 and empty.dtypes == [("symbol", "string"), ("ts", "timestamp_ntz"), ("ratio", "double")]
+
+
+def test_bars_in_order_and_not_empty(spark):
+    frame = spark.createDataFrame([(d, 1.0, 2.0, 0.5, 1.5) for d in (3, 1, 2)], "d int, Open double, High double, Low double, Close double")
+    assert [r.date for r in B.normalize_bars(frame, "s", "d").collect()] == [1, 2, 3]
+    with pytest.raises(ValueError, match="No bars"):
+        B.normalize_bars(frame.filter("false"), "s", "d")
+
+
+def test_compared_and_latest_runs(spark):
+    rows = spark.createDataFrame([("r1", "c", "s", "d", "x", i) for i in range(3)] + [("r2", "c", "s", "d", "x", 9)], "run_id string, collection string, symbol string, timeframe string, strategy string, ordinal int")
+    assert [(r.run_id, r.ordinal, r.results) for r in summary.compare_runs(rows, " r1 ,,r9", 2).orderBy("ordinal").collect()] == [("r1", 0, 3), ("r1", 1, 3)]
+    with pytest.raises(ValueError):
+        summary.compare_runs(rows, " , ")
+    with pytest.raises(LookupError):
+        summary.compare_runs(rows, "r9")
+    statuses = rows.select(F.col("run_id").alias("recorded_in"), "ordinal")
+    assert [r.ordinal for r in summary.latest_run_status(statuses).collect()] == [9]
+    assert summary.latest_run_status(statuses, "r1").count() == 3
+    with pytest.raises(LookupError):
+        summary.latest_run_status(statuses, "r9")
+    assert summary.latest_run_status(statuses.filter("false")).count() == 0
