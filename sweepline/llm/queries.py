@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import op7_decontamination
 from .language import op8_language
 from .licenses import op1_licenses
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_centroids": op11_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op9_mixing": OP9_SQL}
+ORACLES = {"op9_mixing": OP9_SQL, "op11_centroids": OP11_SQL}
