@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import op7_decontamination
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language import op8_language
 from .licenses import op1_licenses
 from .lm_scoring import op10_lm_scoring
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_centroids": op11_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op9_mixing": OP9_SQL, "op11_centroids": OP11_SQL}
+ORACLES = {"op9_mixing": OP9_SQL, "op11_centroids": OP11_SQL, "op13_hard_negatives": OP13_SQL}
