@@ -10,6 +10,7 @@ from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .language import op8_language
 from .licenses import op1_licenses
 from .lm_scoring import op10_lm_scoring
+from .main_text import op12_main_text
 from .mixing import OP9_SQL, op9_mixing
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_centroids": op11_centroids,
+    "op12_main_text": op12_main_text,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
