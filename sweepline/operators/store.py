@@ -1,14 +1,22 @@
-"""Results as a keyed table: lookup, misses, upsert, listing."""
+"""Results as a keyed table, stored (``results_store``) or as frames: lookup, misses, upsert, listing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import SnapshotTable
+
 KEY = ["collection", "symbol", "timeframe", "strategy", "params", "metric", "fingerprint", "fees", "slippage", "engine_version"]
 LIST_ORDER = ["collection", "symbol", "timeframe", "strategy"]
 
 
+def results_store(spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 32) -> SnapshotTable:
+    """Results that outlive the session: ``upsert``, ``lookup``, ``read``, ``vacuum``; sorted for listing within a bucket."""
+    keys = keys or KEY
+    return SnapshotTable(spark, path, keys, order=[*(c for c in LIST_ORDER if c in keys), *(k for k in keys if k not in LIST_ORDER)], buckets=buckets)
+
+
 def cache_lookup(candidates: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates with the stored value, null where there is none."""
     stored = results.select(*keys, F.col("metric_value").alias("stored_value"), F.lit(True).alias("hit"))

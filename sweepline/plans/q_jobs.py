@@ -10,6 +10,7 @@ from ..operators import jobs as J
 from ..operators import ranking as R
 from ..operators import store, strategies
 from ..operators.positions import evaluate
+from ..sources import storage
 from . import fixtures as X
 from .q_bars import TS_SQL, ts_text
 from .base import query
@@ -180,8 +181,11 @@ CACHE_KEYS = ["collection", "symbol", "timeframe", "strategy", "ordinal"]
 
 @query("cache_lookup", f"WITH {X.RESULTS_SQL}, s AS (SELECT * FROM results WHERE ordinal % 3 = 0) SELECT r.ordinal, s.metric_value AS stored_value, s.ordinal IS NOT NULL AS hit FROM results r LEFT JOIN s USING (ordinal)")
 def cache_lookup(spark, d):
+    """Looked up in a stored table, of which the candidates' buckets are opened."""
     rows = X.results(spark, d)
-    return store.cache_lookup(rows.select(*CACHE_KEYS), rows.filter("ordinal % 3 = 0"), CACHE_KEYS).select("ordinal", "stored_value", "hit")
+    stored = store.results_store(spark, storage.shared_folder(spark, "results"), CACHE_KEYS)
+    stored.upsert(rows.filter("ordinal % 3 = 0").select(*CACHE_KEYS, "run_id", "metric_value"), "metric_value")
+    return stored.lookup(rows.select(*CACHE_KEYS), "metric_value").select("ordinal", "stored_value", "hit")
 
 
 @query("cache_miss_antijoin", f"WITH {X.RESULTS_SQL} SELECT ordinal, collection, symbol FROM results WHERE ordinal % 3 <> 0")
@@ -195,8 +199,12 @@ def cache_miss_antijoin(spark, d):
     f"WITH {X.RESULTS_SQL}, u AS (SELECT collection, symbol, timeframe, strategy, run_id, metric_value, ordinal, (ordinal % 2)::INTEGER AS batch FROM results) SELECT collection, symbol, timeframe, strategy, run_id, metric_value, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY collection, symbol, timeframe, strategy ORDER BY batch DESC, ordinal DESC) AS n FROM u) WHERE n = 1",
 )
 def cache_upsert(spark, d):
+    """Two writes to a stored table, then its newest snapshot."""
     rows = X.results(spark, d).select("collection", "symbol", "timeframe", "strategy", "run_id", "metric_value", "ordinal")
-    return store.upsert(rows.filter("ordinal % 2 = 0"), rows.filter("ordinal % 2 = 1"), store.LIST_ORDER, "ordinal")
+    stored = store.results_store(spark, storage.shared_folder(spark, "results"), store.LIST_ORDER)
+    for batch in (0, 1):
+        stored.upsert(rows.filter(F.col("ordinal") % 2 == batch), "ordinal")
+    return stored.read()
 
 
 @query("list_by_run", f"WITH {X.RESULTS_SQL} SELECT collection, symbol, timeframe, strategy, ordinal, metric_value FROM results WHERE run_id = 'run-1'")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, source string, timeframe string"
+from .snapshots import SnapshotTable
+
 RESULTS_CSV = "collection string, symbol string, timeframe string, strategy string, metric string, metric_value string, params string, sharpe string, sortino string, omega string, tail_ratio string, profit string, pain_index string, trades string, max_drawdown string"
 
 
@@ -17,7 +19,7 @@ def shared_root(spark: SparkSession) -> str:
     executors see no folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -47,14 +49,28 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def bars_parquet_sink(bars: DataFrame, path: str) -> None:
-    """Partitioned by source and timeframe; the symbol stays a column, so A/B and A-B don't meet."""
-    bars.write.mode("overwrite").partitionBy("source", "timeframe").option("compression", "zstd").parquet(path)
+def bars_store(spark: SparkSession, path: str, buckets: int = 16) -> SnapshotTable:
+    """The stored bars: a cell for each source, timeframe and bucket of symbols, rows by symbol and time, a Bloom filter on the symbol."""
+    return SnapshotTable(spark, path, ["source", "timeframe", "symbol"], layout=("source", "timeframe"), spread=["symbol"], order=["symbol", "ts"], buckets=buckets, bloom=("symbol",), lenient=True)
+
+
+def bars_parquet_sink(bars: DataFrame, path: str, buckets: int = 16) -> int:
+    """Each (source, timeframe, symbol) in ``bars`` takes the place of what was stored for it; all other series stay. Returns the version.
+
+    The symbol is a value, not a file name, so A/B and A-B don't meet.
+    """
+    return bars_store(bars.sparkSession, path, buckets).replace(bars)
 
 
-def bars_parquet_scan(spark: SparkSession, path: str, source: str, timeframe: str, symbols: list[str] | None = None) -> DataFrame:
-    """Bars of one source and timeframe; filters prune partitions and reach the scan; unreadable files count as missing."""
-    rows = spark.read.schema(BARS).option("ignoreCorruptFiles", "true").parquet(path)
+def bars_parquet_scan(spark: SparkSession, path: str, source: str, timeframe: str, symbols: list[str] | None = None, buckets: int = 16) -> DataFrame:
+    """Bars of one source and timeframe: only their cells are opened, of given symbols only those symbols' buckets; within a file
+    row groups are skipped by the symbol. Unreadable files count as missing."""
+    store = bars_store(spark, path, buckets)
+    of = None
+    if symbols is not None:
+        found = spark.createDataFrame([(s,) for s in symbols], "symbol string").select(store.bucket()).distinct().collect()
+        of = {r[0] for r in found}
+    rows = store.read(where={"source": source, "timeframe": timeframe}, buckets=of)
     rows = rows.filter((F.col("source") == source) & (F.col("timeframe") == timeframe))
     return rows.filter(F.col("symbol").isin(*symbols)) if symbols is not None else rows
 
