@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INFINITIES = (float("inf"), float("-inf"))
+#: What counts as zero.
+ZERO = 1e-8
 
 
 def lenient_double(c: Column | str) -> Column:
@@ -33,7 +35,7 @@ def is_positive(c: Column | str) -> Column:
 
 
 def close_to_zero(c: Column) -> Column:
-    return F.abs(c) <= 1e-8
+    return F.abs(c) <= ZERO
 
 
 def format_6f(c: Column | str) -> Column:

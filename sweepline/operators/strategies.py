@@ -1,14 +1,12 @@
-"""Strategies: columns of signals, a pandas bridge, ternary signals."""
+"""Strategies as columns of signals; ``sweeps`` has those in numpy and pandas."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 
 def moving_averages(bars: DataFrame, lengths: Iterable[int], keys: list[str]) -> DataFrame:
@@ -32,25 +30,3 @@ def sma_cross(bars: DataFrame, grid: list[tuple[int, int]], keys: list[str]) ->
 def ternary(signal: Column) -> tuple[Column, Column]:
     """1 is entry, -1 exit; null neither."""
     return F.coalesce(signal == 1, F.lit(False)), F.coalesce(signal == -1, F.lit(False))
-
-
-def pandas_strategy(bars: DataFrame, grid: DataFrame, keys: list[str], generate: Callable[[pd.DataFrame, dict], tuple[pd.Series, pd.Series]]) -> DataFrame:
-    """Any Python strategy on one series and combination at a time.
-
-    Returns the bars with entry, exit and error; a combination whose strategy raises gives rows with the error
-    and no signals, and the sweep goes on. ``generate`` may be a function, a callable or an object with ``generate_signals``.
-    """
-    call = getattr(generate, "generate_signals", generate)
-    crossed = bars.crossJoin(F.broadcast(grid))  # a grid is a small configuration table
-    schema = StructType([*crossed.schema.fields, *StructType.fromDDL("entry boolean, exit boolean, error string").fields])
-    schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts").reset_index(drop=True)
-        try:
-            entries, exits = call(frame, dict(frame["params"].iloc[0]))
-            return frame.assign(entry=pd.Series(entries).fillna(False).astype(bool), exit=pd.Series(exits).fillna(False).astype(bool), error=None)
-        except Exception as error:  # a strategy is the user's code: its failure is a result
-            return frame.assign(entry=False, exit=False, error=f"{type(error).__name__}: {error}")
-
-    return crossed.groupBy(*keys, "grid_ordinal").applyInPandas(run, schema)

@@ -105,15 +105,18 @@ EVENT_BARS_SQL = """bars AS (
          arg_max(100 + value, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events GROUP BY ALL)"""
 
-SMA_SQL = (
-    BARS_SQL
-    + """, signals AS (
-  SELECT b.*, g.combo_id, g.fast, g.slow, g.a > g.b AS entry, NOT (g.a > g.b) AS exit FROM (
-    SELECT *, """
-    + ", ".join(f"avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in (5, 10, 20, 50))
-    + """ FROM bars) b,
-  LATERAL (SELECT * FROM (VALUES (0, 5, 20, b.m5, b.m20), (1, 10, 50, b.m10, b.m50)) v(combo_id, fast, slow, a, b)) g)"""
-)
+
+
+def sma_sql(grid: list[tuple[int, int]]) -> str:
+    lengths = sorted({n for pair in grid for n in pair})
+    means = ", ".join(f"avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in lengths)
+    rows = ", ".join(f"({i}, {a}, {b}, b.m{a}, b.m{b})" for i, (a, b) in enumerate(grid))
+    return f"""{BARS_SQL}, signals AS (
+  SELECT b.*, g.combo_id, g.fast, g.slow, g.a > g.b AS entry, NOT (g.a > g.b) AS exit FROM (SELECT *, {means} FROM bars) b,
+  LATERAL (SELECT * FROM (VALUES {rows}) v(combo_id, fast, slow, a, b)) g)"""
+
+
+SMA_SQL = sma_sql(GRID)
 
 FLIP_SQL = (
     BARS_SQL
@@ -150,9 +153,7 @@ RETURNS_SQL = f""", held AS (
 
 EVALUATED_SQL = SMA_SQL + LATCH_SQL + RETURNS_SQL
 
-STATS_SQL = (
-    EVALUATED_SQL
-    + """, moments AS (
+_STATS = """, moments AS (
   SELECT symbol, combo_id, count(*) AS n, avg(r) AS mean, stddev_pop(r) AS sd, stddev_pop(least(r, 0)) AS down,
          coalesce(sum(r) FILTER (WHERE r > 0), 0) AS gains, coalesce(-sum(r) FILTER (WHERE r < 0), 0) AS losses,
          abs(quantile_cont(r, 0.95)) AS q95, abs(quantile_cont(r, 0.05)) AS q05,
@@ -173,7 +174,13 @@ STATS_SQL = (
   FROM moments
 ), stats AS (
   SELECT *, CASE WHEN max_drawdown < 0 AND isfinite(cagr) THEN cagr / abs(max_drawdown) ELSE CAST('nan' AS DOUBLE) END AS calmar FROM ratios)"""
-)
+
+
+def stats_sql(grid: list[tuple[int, int]]) -> str:
+    return sma_sql(grid) + LATCH_SQL + RETURNS_SQL + _STATS
+
+
+STATS_SQL = stats_sql(GRID)
 
 RESULTS_SQL = """results AS (
   SELECT c_mktsegment AS collection, 'N' || c_nationkey AS symbol, CASE WHEN o_orderpriority < '3' THEN '1d' ELSE '1h' END AS timeframe,

@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import bars as B
 from ..operators import jobs as J
 from ..operators import ranking as R
-from ..operators import store, strategies
+from ..operators import store, sweeps
 from ..operators.positions import evaluate
 from ..sources import storage
 from . import fixtures as X
@@ -25,6 +25,28 @@ def best_per_job(spark, d):
     return best.select("symbol", "combo_id", F.round("sharpe", 6).alias("sharpe"), F.round("omega", 6).alias("omega"), "trades")
 
 
+#: Every pair of a fast and a slow average, with lengths that recur.
+SWEEP = [(f, f + s) for f in (3, 5, 8, 12) for s in (5, 15, 40)]
+
+
+@query(
+    "sweep_statistics",
+    f"WITH {X.stats_sql(SWEEP)} SELECT symbol, combo_id, trades, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in X.STATS) + " FROM stats",
+)
+def sweep_statistics(spark, d):
+    found = sweeps.sweep_statistics(X.bars_orders(spark, d), sweeps.combos_table(spark, SWEEP), ["symbol"], fee=X.FEE)
+    return found.select("symbol", "combo_id", "trades", *(F.round(c, 6).alias(c) for c in X.STATS))
+
+
+@query(
+    "sweep_best",
+    f"WITH {X.stats_sql(SWEEP)} SELECT symbol, combo_id, round(sortino, 6) AS sortino, trades FROM stats WHERE isfinite(sortino) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sortino DESC, combo_id) = 1",
+)
+def sweep_best(spark, d):
+    found = sweeps.sweep_statistics(X.bars_orders(spark, d), sweeps.combos_table(spark, SWEEP), ["symbol"], fee=X.FEE)
+    return R.best_per_job(found, ["symbol"], "sortino").select("symbol", "combo_id", F.round("sortino", 6).alias("sortino"), "trades")
+
+
 _COLLECTIONS = "SELECT c_mktsegment AS collection, 'N' || c_nationkey AS symbol FROM customer GROUP BY ALL"
 
 
@@ -140,7 +162,7 @@ def _momentum(frame, params):
 def _pandas_rows(spark, d):
     bars = X.bars_orders(spark, d)
     grid = spark.createDataFrame([(0, {"a": "5"}), (1, {"a": "15"}), (2, {"a": "20"})], "grid_ordinal int, params map<string,string>")
-    return strategies.pandas_strategy(bars, grid, ["symbol"], _momentum)
+    return sweeps.pandas_strategy(bars, grid, ["symbol"], _momentum)
 
 
 _LAG = "(SELECT *, close - lag(close, {n}) OVER (PARTITION BY symbol ORDER BY ts) AS m FROM bars)"
@@ -162,7 +184,7 @@ def strategy_callable(spark, d):
             return moved > 0, moved < 0
 
     grid = spark.createDataFrame([(0, {"a": "5"}), (1, {"a": "15"})], "grid_ordinal int, params map<string,string>")
-    return strategies.pandas_strategy(X.bars_orders(spark, d), grid, ["symbol"], Momentum()).select("symbol", "grid_ordinal", ts_text(), "entry", "exit")
+    return sweeps.pandas_strategy(X.bars_orders(spark, d), grid, ["symbol"], Momentum()).select("symbol", "grid_ordinal", ts_text(), "entry", "exit")
 
 
 @query("strategy_error_capture", f"WITH {X.BARS_SQL} SELECT symbol, 2 AS grid_ordinal, 'generate_signals' AS stage, 'ValueError: window too long' AS error, count(*) AS bars FROM bars GROUP BY symbol")

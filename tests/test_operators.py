@@ -9,7 +9,7 @@ from sweepline.functions import symbols as Y
 from sweepline.operators import bars as B
 from sweepline.operators import jobs as J
 from sweepline.operators import ranking as R
-from sweepline.operators import strategies, summary
+from sweepline.operators import summary, sweeps
 from sweepline.operators import universe as V
 from sweepline.sources import payloads as L
 from sweepline.sources import storage
@@ -111,7 +111,7 @@ def test_strategy_errors_are_rows(spark):
         moved = frame["close"].diff(int(params["n"]))
         return moved > 0, moved < 0
 
-    rows = strategies.pandas_strategy(bars, grid, ["symbol"], rising).collect()
+    rows = sweeps.pandas_strategy(bars, grid, ["symbol"], rising).collect()
     assert sum(r.entry for r in rows) == 3
     assert {r.grid_ordinal for r in rows if r.error} == {1}
 
