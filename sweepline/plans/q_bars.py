@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import frames, long_series
 from ..operators import metrics as M
 from ..operators import positions as P
 from ..operators.strategies import ternary
@@ -32,6 +33,35 @@ def ticks_to_bars(spark, d):
     return X.bars_events(spark, d).select("symbol", ts_text(), *r6(*OHLCV))
 
 
+FRAMES = {"5m": "5 minutes", "1h": "1 hour", "4h": "4 hours", "1d": "1 day", "1w": "7 days", "2w": "14 days", "1mo": "1 month", "3mo": "3 months"}
+
+
+def _frame_sql(frame: str) -> str:
+    return f"""SELECT '{frame}' AS timeframe, event_type AS symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM (
+      SELECT event_type, time_bucket(INTERVAL '{FRAMES[frame]}', ts) AS ts, arg_min(100 + value, event_id) AS open, max(100 + value) AS high, min(100 + value) AS low,
+             arg_max(100 + value, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL)"""
+
+
+def _event_frames(spark, d, names):
+    return frames.bars_of_frames(X.table(spark, d, "events"), "event_type", "ts", 100 + F.col("value"), "event_id", names)
+
+
+@query("ticks_to_frames", " UNION ALL ".join(map(_frame_sql, FRAMES)))
+def ticks_to_frames(spark, d):
+    """All timeframes from one scan and one shuffle."""
+    return _event_frames(spark, d, list(FRAMES)).select("timeframe", "symbol", ts_text(), *r6(*OHLCV))
+
+
+@query("frames_from_finer", " UNION ALL ".join(map(_frame_sql, ("4h", "1w", "1mo"))))
+def frames_from_finer(spark, d):
+    """Coarse bars from the states of fine ones: 1h to 4h, 4h to 1w, 1h to months."""
+    hours = _event_frames(spark, d, ["1h"]).drop("timeframe")
+    four = frames.coarser(hours, "1h", "4h")
+    out = {"4h": four, "1w": frames.coarser(four, "4h", "1w"), "1mo": frames.coarser(hours, "1h", "1mo")}
+    rows = [bars.select(F.lit(name).alias("timeframe"), "symbol", ts_text(), *r6(*OHLCV)) for name, bars in out.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("normalize_bars", f"WITH {X.BARS_SQL} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date, {r6_sql('open', 'high', 'low', 'close')}, 0.0::DOUBLE AS volume FROM bars")
 def normalize_bars(spark, d):
     raw = X.bars_orders(spark, d).select("symbol", F.col("ts").alias("day"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"))
@@ -167,6 +197,29 @@ def whole_share_equity(spark, d):
     return out.select("symbol", "combo_id", "trades", F.round("cash", 4).alias("cash"))
 
 
+def _month():
+    return F.date_trunc("month", "ts")
+
+
+@query("long_series_latch", f"WITH {X.FLIP_SQL}{X.LATCH_SQL} SELECT symbol, {TS_SQL}, pos::INTEGER AS pos, pos_after FROM positioned")
+def long_series_latch(spark, d):
+    """The latch over blocks of a month; no window holds a whole series."""
+    out = long_series.blocked_latch(long_series.in_blocks(X.signals_flip(spark, d), _month()), X.KEYS)
+    return out.select("symbol", ts_text(), F.col("pos").cast("int"), F.col("pos_after").cast("int"))
+
+
+@query("long_series_curves", f"{EV} SELECT symbol, combo_id, {TS_SQL}, h::INTEGER AS h, {r6_sql('r', 'equity', 'drawdown')} FROM drawn")
+def long_series_curves(spark, d):
+    out = long_series.blocked_evaluate(X.signals_sma(spark, d), X.KEYS, _month(), X.FEE)
+    return out.select("symbol", "combo_id", ts_text(), F.col("h").cast("int"), *r6("r", "equity", "drawdown"))
+
+
+@query("long_series_trades", f"{EV}{_TRIPS} SELECT symbol, combo_id, trade, {r6_sql('entry_price', 'exit_price')}, round(exit_price - entry_price, 6) AS profit FROM trips")
+def long_series_trades(spark, d):
+    out = long_series.blocked_evaluate(X.signals_sma(spark, d), X.KEYS, _month(), X.FEE)
+    return long_series.blocked_trades(out, X.KEYS, limit=None).select("symbol", "combo_id", "trade", *r6("entry_price", "exit_price", "profit"))
+
+
 def _statistic(name: str, column: str, digits: int = 6) -> None:
     value = f"round({column}, {digits}) + 0.0" if column != "trades" else column
 
