@@ -145,6 +145,40 @@ def route_source(spark, d):
     return L.route_source(both, ["polygon", "binance"]).select("source", "symbol", ts_text(), *r6("close"))
 
 
+PAYLOADS = {"yfinance": "yahoo", "alpaca": "alpaca", "ccxt": "ccxt", "binance": "ccxt", "bybit": "ccxt", "tiingo": "tiingo", "polygon": "polygon", "finnhub": "finnhub", "twelvedata": "twelvedata", "alphavantage": "alphavantage"}
+
+
+def landed(spark, d):
+    """A table of payloads of ten sources as they would land. By symbol: 1 is cut off, 2 holds no bars, 3 is null, the others are whole."""
+    parts = [globals()[f"payload_{of}"](spark, d).select("symbol", "payload", F.lit(name).alias("source")) for name, of in PAYLOADS.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    kind = F.substring("symbol", 1, 1)
+    broken = F.when(kind == "1", F.expr("substring(payload, 1, length(payload) - 7)")).when(kind == "2", "{}").when(kind != "3", F.col("payload"))
+    path = storage.shared_folder(spark, "payloads")
+    rows.withColumn("payload", F.when(F.col("source").isin("ccxt", "binance", "bybit", "tiingo") & (kind == "2"), "[]").otherwise(broken)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_SOURCES_SQL = "(VALUES " + ", ".join(f"('{n}', '{L.PARSERS[n][1]}')" for n in PAYLOADS) + ") v(source, title)"
+
+
+@query("route_ten_sources", f"WITH {X.BARS_SQL} SELECT source, symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM bars, {_SOURCES_SQL} WHERE symbol > '4'")
+def route_ten_sources(spark, d):
+    return L.bars_of(L.outcomes(landed(spark, d))).select("source", "symbol", ts_text(), *r6(*OHLCV))
+
+
+@query(
+    "payload_failures",
+    f"""SELECT source, symbol, CASE symbol[1] WHEN '1' THEN 'parse' WHEN '2' THEN 'normalize' ELSE 'fetch' END AS stage,
+    CASE symbol[1] WHEN '1' THEN 'Broken payload from ' WHEN '2' THEN 'No data from ' ELSE 'Empty payload from ' END || title || ' for ' || symbol AS error
+    FROM (SELECT DISTINCT o_orderpriority AS symbol FROM orders), {_SOURCES_SQL} WHERE symbol < '4'""",
+)
+def payload_failures(spark, d):
+    return L.failures_of(L.outcomes(landed(spark, d))).select("source", "symbol", "stage", "error")
+
+
 def _corporate(name: str, action: str, value: str) -> None:
     @query(
         f"norm_{name}",
