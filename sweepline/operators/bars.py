@@ -27,18 +27,18 @@ def ticks_to_bars(ticks: DataFrame, symbol: str, ts: str, price: Column | str, o
 def normalize_bars(frame: DataFrame, symbol: str | Column, ts: str) -> DataFrame:
     """Lower-case price columns, volume 0 where absent, fixed column order; each symbol's bars in one partition, by date.
 
-    Missing price columns and a frame without rows are errors. Windows by symbol need no further shuffle.
+    Missing price columns are an error at once, a frame without rows is one when the result is used. Windows by symbol need no further shuffle.
     """
     by_name = {c.lower(): c for c in frame.columns}
     missing = sorted(set(PRICES) - set(by_name))
     if missing:
         raise ValueError(f"Missing price columns: {', '.join(missing)}")
-    if frame.isEmpty():
-        raise ValueError("No bars")
     volume = F.col(by_name["volume"]).cast("double") if "volume" in by_name else F.lit(0.0)
     name = F.lit(symbol) if isinstance(symbol, str) else symbol
     out = frame.select(name.alias("symbol"), F.col(ts).alias("date"), *(F.col(by_name[c]).cast("double").alias(c) for c in PRICES), volume.alias("volume"))
-    return out.repartition("symbol").sortWithinPartitions("symbol", "date")
+    # raised when the result is used; reading stops at the first row
+    empty = frame.limit(1).agg(F.count("*").alias("n")).filter("n = 0").select(*(F.raise_error(F.lit("No bars")).cast(f.dataType).alias(f.name) for f in out.schema))
+    return out.unionByName(empty).repartition("symbol").sortWithinPartitions("symbol", "date")
 
 
 def data_fingerprint(bars: DataFrame, *keys: str) -> DataFrame:

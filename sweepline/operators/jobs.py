@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def job_cross(collections: DataFrame, timeframes: DataFrame, strategies: DataFrame) -> DataFrame:
     """(collection, symbols array) x timeframe x strategy: dimension tables of a configuration, not data."""
     symbols = collections.select("collection", F.explode("symbols").alias("symbol"))
-    return symbols.crossJoin(F.broadcast(timeframes)).crossJoin(F.broadcast(strategies))
+    return symbols.crossJoin(timeframes).crossJoin(strategies)
 
 
 def grid_cross(grid: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def grid_cross(grid: DataFrame) -> DataFrame:
 
 def strategy_overrides(own: DataFrame, overrides: DataFrame) -> DataFrame:
     """An override's ``grid`` replaces a strategy's grid; else its ``params`` are merged in, the right one winning."""
-    joined = own.join(F.broadcast(overrides), "strategy", "left")
+    joined = own.join(overrides, "strategy", "left")
     kept = F.map_filter("grid", lambda k, v: F.coalesce(~F.map_contains_key("params", k), F.lit(True)))
     merged = F.when(F.col("override_grid").isNotNull(), F.col("override_grid")).otherwise(
         F.map_concat(kept, F.coalesce("params", F.create_map().cast("map<string,array<string>>")))

@@ -85,19 +85,34 @@ def run_metrics_text(evaluations: DataFrame, at: Column) -> DataFrame:
     return counters_text(row, ["run_duration_seconds", "results_count", *COUNTERS])
 
 
-def run_summary(rows: DataFrame, failures: DataFrame) -> DataFrame:
-    """A row for each run: metric, results_count, best value, counters, failures by message, all runs, newest first.
+def run_summary(rows: DataFrame, failures: DataFrame, notifications: DataFrame | None = None, statuses: DataFrame | None = None, at: Column | None = None) -> DataFrame:
+    """A row for each run: times, metric, counts, best values, counters, failures by kind, what the dashboard says, notifications and status.
 
-    ``failures``: (run_id, error). Equal messages are counted, so a run's list grows with its kinds of failure alone.
+    ``at`` is the time of a result; times have whole seconds, in UTC. ``failures``: (run_id, stage, error, and the place and params of a failed
+    combination); they are listed by kind, with their number and the first one's place and params, so that a run's row grows with its
+    kinds of failure alone (all records are in the failures themselves). ``notifications``: (run_id, channel, sent, reason). ``statuses``:
+    (run_id, status, message). The list of runs is ``runs_history``'s, once, and in no run's row.
     """
+    distinct = lambda c: F.count_distinct(F.nullif(c, F.lit("")))
+    iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    times = [] if at is None else [iso(F.min(at)).alias("started_at"), iso(F.max(at)).alias("finished_at"), (F.unix_seconds(F.max(at)) - F.unix_seconds(F.min(at))).alias("duration_sec")]
+    board = F.struct(distinct("collection").alias("collections"), distinct("symbol").alias("symbols"), distinct("strategy").alias("strategies"), distinct("timeframe").alias("timeframes"))
     found = rows.groupBy("run_id").agg(
-        F.min("metric").alias("metric"), F.count("*").alias("results_count"), F.max(not_nan("metric_value")).alias("best"), F.max("sharpe").alias("best_sharpe"), F.struct(*_counters()).alias("metrics")
+        *times, F.min("metric").alias("metric"), F.count("*").alias("results_count"), F.max(not_nan("metric_value")).alias("best"), F.max(not_nan("sharpe")).alias("best_sharpe"), F.struct(*_counters()).alias("metrics"), board.alias("dashboard")
     )
-    kinds = failures.groupBy("run_id", "error").agg(F.count("*").alias("count"))
-    listed = kinds.groupBy("run_id").agg(F.sum("count").alias("failures_count"), F.array_sort(F.collect_list(F.struct("error", "count"))).alias("failures"))
-    runs = rows.select("run_id").distinct().agg(F.sort_array(F.collect_list("run_id"), False)).scalar()  # a name for each run
-    none = F.array().cast("array<struct<error:string,count:bigint>>")
-    return found.join(listed, "run_id", "left").withColumns({"failures_count": F.coalesce("failures_count", F.lit(0)), "failures": F.coalesce("failures", none), "runs": runs})
+    where = [c for c in (*PLACE, "params") if c in failures.columns]
+    shown = F.struct("stage", "error", "count", *(F.col(f"first.{c}").alias(c) for c in where))
+    order = F.struct("ordinal") if "ordinal" in failures.columns else F.struct(*where)
+    kinds = failures.groupBy("run_id", "stage", "error").agg(F.count("*").alias("count"), F.min_by(F.struct(*where), order).alias("first"))
+    listed = kinds.groupBy("run_id").agg(F.sum("count").alias("failures_count"), F.array_sort(F.collect_list(shown)).alias("failures"))
+    out = found.join(listed, "run_id", "left").withColumn("failures_count", F.coalesce("failures_count", F.lit(0)))
+    out = out.withColumn("failures", F.coalesce("failures", F.array().cast(dict(listed.dtypes)["failures"])))
+    for name, events in (("notifications", notifications), ("manifest_refresh", statuses)):
+        if events is not None:
+            each = F.struct(*(c for c in events.columns if c != "run_id"))
+            events = events.groupBy("run_id").agg(F.array_sort(F.collect_list(each)).alias(name))
+            out = out.join(events, "run_id", "left").withColumn(name, F.coalesce(name, F.array().cast(dict(events.dtypes)[name])))
+    return out
 
 
 def counters_text(counters: DataFrame, names: list[str]) -> DataFrame:
@@ -125,10 +140,14 @@ def available_metrics(listed: DataFrame, by_run: DataFrame) -> DataFrame:
 def compare_matrix(rows: DataFrame, metric: str = "sharpe") -> DataFrame:
     """A row for each run: the chosen metric, omega, tail ratio, pain index and profit (best, else max, else mean; finite)."""
     columns = [metric, *(m for m in ("omega", "tail_ratio", "pain_index", "profit") if m != metric)]
-    best = summary_best(rows, ["run_id"], columns).select("run_id", "metric", "value")
-    joined = summary_metrics(rows, ["run_id"], columns).join(best, ["run_id", "metric"], "left")
-    value = F.coalesce(finite("value"), finite("max"), finite("mean"))
-    return joined.withColumn("v", value).groupBy("run_id").pivot("metric", columns).agg(F.first("v"))
+
+    def value(m: str) -> Column:
+        x = not_nan(m)
+        best = F.min(x) if m == "pain_index" else F.max(x)
+        return F.coalesce(finite(best), finite(F.max(x)), finite(F.avg(x))).alias(m)
+
+    some = F.array_max(F.array(*(not_nan(m).isNotNull() for m in columns)))  # a run without any number has no row
+    return rows.filter(some).groupBy("run_id").agg(*map(value, columns))
 
 
 def runs_history(runs: DataFrame, current: DataFrame) -> DataFrame:

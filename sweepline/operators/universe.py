@@ -16,13 +16,19 @@ def volume_of(quote_volume: str, base_volume: str, has_quote: str) -> Column:
 def discover_top_volume(tickers: DataFrame, markets: DataFrame, quote: str = "USDT", top_n: int = 50, min_volume: float = 0.0) -> DataFrame:
     """(exchange, symbol, volume): pairs of a quote currency by volume; exchanges without tickers take active spot markets."""
     pair = F.split("symbol", "/")
-    wanted = (F.size(pair) == 2) & (F.upper(F.get(pair, 1)) == quote.upper())
-    listed = tickers.filter(wanted & (F.col("volume") >= min_volume)).select("exchange", "symbol", "volume")
-    fallback = markets.join(tickers.select("exchange").distinct(), "exchange", "left_anti")
-    fallback = fallback.filter("coalesce(active, true) and spot").filter(F.upper(F.coalesce("quote", F.lit(""))) == quote.upper()).select("exchange", "symbol", F.lit(0.0).alias("volume"))
-    both = listed.unionByName(fallback).dropDuplicates(["exchange", "symbol"])
-    w = Window.partitionBy("exchange").orderBy(F.col("volume").desc(), "symbol")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    wanted = (F.size(pair) == 2) & (F.upper(F.get(pair, 1)) == quote.upper()) & (F.col("volume") >= min_volume)
+    listed = tickers.select("exchange", "symbol", "volume", F.coalesce(wanted, F.lit(False)).alias("wanted"), F.lit(True).alias("listed"))
+    spot = F.coalesce("active", F.lit(True)) & F.col("spot") & (F.upper(F.coalesce("quote", F.lit(""))) == quote.upper())
+    fallback = markets.select("exchange", "symbol", F.lit(0.0).alias("volume"), F.coalesce(spot, F.lit(False)).alias("wanted"), F.lit(False).alias("listed"))
+    # one row a pair, combined before the shuffle; then one window an exchange tells whether it has tickers and ranks its pairs
+    kept = F.col("wanted")
+    pairs = listed.unionByName(fallback).groupBy("exchange", "symbol").agg(
+        F.max("listed").alias("any"), F.max(F.when(kept & F.col("listed"), F.col("volume"))).alias("ticker"), F.max(F.when(kept & ~F.col("listed"), F.lit(0.0))).alias("market")
+    )
+    w = Window.partitionBy("exchange")
+    pairs = pairs.withColumn("volume", F.when(F.max("any").over(w), F.col("ticker")).otherwise(F.col("market")))
+    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.col("volume").desc_nulls_last(), "symbol")))
+    return ranked.filter(F.col("volume").isNotNull() & (F.col("rank") <= top_n)).select("exchange", "symbol", "volume", "rank")
 
 
 def universe_merge(entries: DataFrame, exchanges: list[str]) -> DataFrame:

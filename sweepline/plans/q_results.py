@@ -187,9 +187,7 @@ TIC = f"WITH {X.TICKERS_SQL}"
 
 @query("universe_union", f"{TIC} SELECT exchange, symbol, volume FROM tickers")
 def universe_union(spark, d):
-    rows = X.tickers(spark, d)
-    parts = [rows.filter(F.col("exchange") == e) for e in ("A", "N", "R")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return X.tickers(spark, d).filter(F.col("exchange").isin("A", "N", "R"))  # one scan
 
 
 _MERGED = "merged AS (SELECT symbol, exchange, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, exchange DESC) AS n FROM tickers) WHERE n = 1)"
@@ -285,3 +283,63 @@ def vendor_timeframes(spark, d):
     tf = F.concat((k % 60 + 1).cast("string"), F.get(F.array(*map(F.lit, ("m", "h", "d", "w", "M"))), (k % 5).cast("int")))
     rows = X.table(spark, d, "orders").select(tf.alias("timeframe")).distinct()
     return rows.select("timeframe", *(Y.vendor_timeframe(v, F.col("timeframe")).alias(v) for v in _VENDOR_SQL))
+
+
+# --- groups of scalar functions
+
+
+@query(
+    "fn_text",
+    f"""{TIC} SELECT exchange, symbol, split_part(symbol, '/', 1) AS base, upper(split_part(symbol, '/', 2)) AS quote, trim('  ' || lower(symbol) || ' ') AS low,
+    symbol LIKE '%USDT' AS is_usdt, replace(symbol, '/', '-') AS dashed, symbol GLOB 'Brand#[1-3]*/USD' AS matched FROM tickers""",
+)
+def fn_text(spark, d):
+    pair = F.split("symbol", "/")
+    return X.tickers(spark, d).select(
+        "exchange", "symbol", F.get(pair, 0).alias("base"), F.upper(F.get(pair, 1)).alias("quote"), F.trim(F.concat(F.lit("  "), F.lower("symbol"), F.lit(" "))).alias("low"),
+        F.col("symbol").endswith("USDT").alias("is_usdt"), F.replace("symbol", F.lit("/"), F.lit("-")).alias("dashed"), F.col("symbol").rlike(V.glob_regex("Brand#[1-3]*/USD")).alias("matched"),
+    )
+
+
+@query(
+    "fn_math",
+    f"""{RES} SELECT ordinal, round(sqrt(abs(metric_value)), 6) AS root, round(power(abs(metric_value), 1.5), 6) AS powered, round_even(ordinal / 4.0, 0)::BIGINT AS half_even,
+    abs(metric_value - round(metric_value, 8)) <= 1e-8 AS close, isnan(sharpe) AS missing, isfinite(sharpe) AS finite, greatest(metric_value, omega) AS larger, least(metric_value, tail_ratio) AS smaller FROM results""",
+)
+def fn_math(spark, d):
+    m = F.col("metric_value")
+    return X.results(spark, d).select(
+        "ordinal", F.round(F.sqrt(F.abs(m)), 6).alias("root"), F.round(F.power(F.abs(m), F.lit(1.5)), 6).alias("powered"), F.bround(F.col("ordinal") / 4, 0).cast("long").alias("half_even"),
+        S.close_to_zero(m - F.round(m, 8)).alias("close"), F.isnan("sharpe").alias("missing"), S.finite("sharpe").isNotNull().alias("finite"), F.greatest(m, F.col("omega")).alias("larger"), F.least(m, F.col("tail_ratio")).alias("smaller"),
+    )
+
+
+_PER_USER = """e AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids, list(round(value, 4) ORDER BY event_id) AS vals FROM events WHERE event_id % 5 = 0 GROUP BY user_id)"""
+
+
+@query(
+    "fn_array",
+    f"""WITH {_PER_USER} SELECT user_id, ids[1:3] AS head, list_filter(ids, lambda x, i: (i - 1) % greatest(1, len(ids) // 4) = 0) AS sampled, list_transform(list_zip(ids[1:2], vals[1:2]), lambda z: z[1] || ':' || z[2]) AS zipped, list_contains(ids, 25) AS has_25 FROM e""",
+)
+def fn_array(spark, d):
+    rows = X.table(spark, d, "events").filter("event_id % 5 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.round("value", 4).alias("v")))).alias("e"))
+    ids, step = F.col("e.event_id"), F.greatest(F.lit(1), F.floor(F.size("e") / 4)).cast("int")
+    pairs = F.arrays_zip(F.slice(ids, 1, 2).alias("i"), F.slice(F.col("e.v"), 1, 2).alias("v"))
+    return rows.select(
+        "user_id", F.slice(ids, 1, 3).alias("head"), F.filter(ids, lambda x, i: F.pmod(i, step) == 0).alias("sampled"),
+        F.transform(pairs, lambda p: F.concat_ws(":", p["i"].cast("string"), p["v"].cast("string"))).alias("zipped"), F.array_contains(ids, 25).alias("has_25"),
+    )
+
+
+@query(
+    "fn_map",
+    """SELECT n_nationkey AS id, '{"a":"' || (n_nationkey % 3) || '","b":"right","c":"' || n_name || '"}' AS merged, '{"c":"' || n_name || '"}' AS kept, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, 'none') AS looked_up FROM nation""",
+)
+def fn_map(spark, d):
+    name, k = F.col("n_name"), F.col("n_nationkey")
+    left = F.create_map(F.lit("c"), name, F.lit("b"), F.lit("left"))
+    right = F.create_map(F.lit("b"), F.lit("right"), F.lit("a"), (k % 3).cast("string"))
+    merged = F.map_concat(F.map_filter(left, lambda key, _: ~F.map_contains_key(right, key)), right)
+    some = F.when(k % 2 == 0, F.create_map(F.lit("n"), name)).otherwise(F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(merged, lambda key, _: key.isin("c", "z"))
+    return X.table(spark, d, "nation").select(k.alias("id"), S.params_json(merged).alias("merged"), S.params_json(kept).alias("kept"), F.coalesce(F.try_element_at(some, F.lit("n")), F.lit("none")).alias("looked_up"))

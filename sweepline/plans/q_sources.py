@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import ticks_to_bars
 from ..sources import payloads as L
-from ..sources import storage
+from ..sources import inventory, storage
 from . import fixtures as X
 from .q_bars import OHLCV, TS_SQL, ts_text, r6, r6_sql
 from .base import query
@@ -258,3 +258,30 @@ def retention_scan(spark, d):
 def ticks_to_bars_daily(spark, d):
     price = X.BASE_PRICE + F.col("o_totalprice")
     return _back(ticks_to_bars(X.table(spark, d, "orders"), "o_orderpriority", "o_orderdate", price, "o_orderkey", "day"))
+
+
+_ROOTS = ["reports", "cache"]
+_CLOCK = datetime.datetime(1997, 3, 1, 12)
+
+
+def _file_listing(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("cache/"), k.cast("string"))).otherwise(F.concat(F.lit("reports/run-"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"), k.cast("string"), F.lit(".json")))
+    return X.table(spark, d, "orders").select(name.alias("path"), F.col("o_custkey").cast("long").alias("size"), F.col("o_orderdate").cast("timestamp_ntz").alias("modified"), k.alias("k"))
+
+
+@query(
+    "retention_inventory",
+    """WITH files AS (
+      SELECT CASE WHEN k % 5 = 0 THEN 'cache/' || k ELSE 'reports/run-' || (o_custkey % 7) || '/' || k || '.json' END AS path, o_custkey::BIGINT AS size,
+             o_orderdate + CASE WHEN k % 5 <> 0 AND k % 2 = 1 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS modified
+      FROM (SELECT *, o_orderkey AS k FROM orders) WHERE CASE WHEN k % 5 = 0 THEN k % 3 < 2 ELSE k % 4 <> 0 END)
+    SELECT path, size, floor(epoch(TIMESTAMP '1997-03-01 12:00:00' - modified) / 86400)::INTEGER AS age_days FROM files WHERE modified <= TIMESTAMP '1997-03-01 12:00:00' - INTERVAL 400 DAY""",
+)
+def retention_inventory(spark, d):
+    """Two listings of one inventory: the second finds some reports gone, some new and some changed, and doesn't look at the cache."""
+    store, rows = inventory.inventory_store(spark, storage.shared_folder(spark, "inventory")), _file_listing(spark, d)
+    inventory.refresh(store, rows.filter("k % 3 < 2").drop("k"), _ROOTS, datetime.datetime(1997, 1, 1))
+    later = F.when(F.col("k") % 2 == 1, F.col("modified") + F.make_dt_interval(F.lit(1))).otherwise(F.col("modified"))
+    inventory.refresh(store, rows.filter("k % 4 != 0").withColumn("modified", later).drop("k"), ["reports"], datetime.datetime(1997, 2, 1))
+    return inventory.past_keep(store.read(), _ROOTS, 400, _CLOCK)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import run_states as RS
+from ..operators import sketches as K
 from ..operators import summary as U
+from ..sources import storage
 from . import fixtures as X
 from .base import query
 
@@ -168,20 +173,92 @@ def rebuild_summary(spark, d):
     return U.summary_metrics(rows, ["run_id"]).withColumn("mean", F.round("mean", 6))
 
 
+_FAILED = "CASE ordinal % 9 WHEN 0 THEN 'fetch' ELSE 'generate_signals' END AS stage, CASE ordinal % 9 WHEN 0 THEN 'cache | miss' ELSE 'bad window' END AS error"
 _SUMMARY_SQL = f"""{RES}, c AS (
-  SELECT run_id, min(metric) AS metric, count(*) AS n, floor(max(metric_value) * 4) / 4 AS best, bool_or(isnan(sharpe)) AS no_sharpe, {_COUNTERS} FROM results GROUP BY run_id
+  SELECT run_id, min(metric) AS metric, count(*) AS n, max(metric_value) AS best, max(sharpe) FILTER (WHERE NOT isnan(sharpe)) AS best_sharpe, min(ordinal) AS t0, max(ordinal) AS t1, {_COUNTERS},
+         count(DISTINCT collection) AS collections, count(DISTINCT symbol) AS symbols, count(DISTINCT strategy) AS strategies, count(DISTINCT timeframe) AS timeframes FROM results GROUP BY run_id
 ), f AS (
-  SELECT run_id, sum(n)::BIGINT AS n, list({{'error': error, 'count': n}} ORDER BY error) AS failures
-  FROM (SELECT run_id, CASE ordinal % 9 WHEN 0 THEN 'cache | miss' ELSE 'bad window' END AS error, count(*) AS n FROM results WHERE ordinal % 9 < 2 GROUP BY ALL) GROUP BY run_id)
-SELECT run_id, to_json({{'run_id': run_id, 'metric': metric, 'results_count': c.n, 'best': best, 'best_sharpe': CASE WHEN NOT no_sharpe THEN 0 END,
-  'metrics': {{{", ".join(f"'{n}': {n}" for n in U.COUNTERS)}}}, 'failures_count': coalesce(f.n, 0), 'failures': coalesce(failures, []),
-  'runs': (SELECT list(DISTINCT run_id ORDER BY run_id DESC) FROM results)}})::VARCHAR AS json FROM c LEFT JOIN f USING (run_id)"""
+  SELECT run_id, sum(n)::BIGINT AS n, list({{'stage': stage, 'error': error, 'count': n, 'collection': one.collection, 'symbol': one.symbol, 'timeframe': one.timeframe, 'strategy': one.strategy, 'params': one.params}} ORDER BY stage) AS failures
+  FROM (SELECT run_id, stage, error, count(*) AS n, arg_min(struct_pack(collection, symbol, timeframe, strategy, params), ordinal) AS one FROM (SELECT *, {_FAILED} FROM results WHERE ordinal % 9 < 2) GROUP BY ALL) GROUP BY run_id
+), a AS (
+  SELECT run_id, list({{'channel': channel, 'sent': best >= bound, 'reason': CASE WHEN best < bound THEN 'below_threshold' END}} ORDER BY channel) AS notifications
+  FROM c, (VALUES ('chat', 2.0), ('mail', 9.0)) v(channel, bound) GROUP BY run_id)
+SELECT run_id, to_json({{'run_id': run_id, 'started_at': strftime(make_timestamp(t0 * 1000000), '%Y-%m-%dT%H:%M:%SZ'), 'finished_at': strftime(make_timestamp(t1 * 1000000), '%Y-%m-%dT%H:%M:%SZ'), 'duration_sec': t1 - t0,
+  'metric': metric, 'results_count': c.n, 'best': best, 'best_sharpe': best_sharpe,
+  'metrics': {{{", ".join(f"'{n}': {n}" for n in U.COUNTERS)}}}, 'dashboard': {{'collections': collections, 'symbols': symbols, 'strategies': strategies, 'timeframes': timeframes}},
+  'failures_count': coalesce(f.n, 0), 'failures': coalesce(failures, []), 'notifications': notifications, 'manifest_refresh': [{{'status': 'current_saved', 'message': NULL::VARCHAR}}]}})::VARCHAR AS json
+FROM c LEFT JOIN f USING (run_id) JOIN a USING (run_id)"""
 
 
 @query("run_summary_json", _SUMMARY_SQL)
 def run_summary_json(spark, d):
     rows, bad = X.results(spark, d), F.col("ordinal") % 9
-    failures = rows.filter(bad < 2).select("run_id", F.when(bad == 0, "cache | miss").otherwise("bad window").alias("error"))
-    summary = U.run_summary(rows, failures).withColumn("best", F.floor(F.col("best") * 4) / 4)
-    columns = ["run_id", "metric", "results_count", "best", "best_sharpe", "metrics", "failures_count", "failures", "runs"]
+    failures = rows.filter(bad < 2).withColumns({"stage": F.when(bad == 0, "fetch").otherwise("generate_signals"), "error": F.when(bad == 0, "cache | miss").otherwise("bad window")})
+    best = rows.groupBy("run_id").agg(F.max("metric_value").alias("best"))
+    channels = F.inline(F.array(*(F.struct(F.lit(n).alias("channel"), F.lit(t).alias("at")) for n, t in (("chat", 2.0), ("mail", 9.0)))))
+    sent = F.col("best") >= F.col("at")
+    events = best.select("run_id", "best", channels).select("run_id", "channel", sent.alias("sent"), F.when(~sent, "below_threshold").alias("reason"))
+    statuses = best.select("run_id", F.lit("current_saved").alias("status"), F.lit(None).cast("string").alias("message"))
+    summary = U.run_summary(rows, failures, events, statuses, F.timestamp_seconds("ordinal"))
+    columns = ["run_id", "started_at", "finished_at", "duration_sec", "metric", "results_count", "best", "best_sharpe", "metrics", "dashboard", "failures_count", "failures", "notifications", "manifest_refresh"]
     return S.with_json(summary, columns, "json").select("run_id", "json")
+
+
+# --- states that merge, sketches
+
+
+def _states(spark, d):
+    """The merged states of runs whose results came in three batches, one of them recorded twice."""
+    store = RS.states_store(spark, storage.shared_folder(spark, "states"))
+    rows = X.results(spark, d)
+    for batch in (0, 1, 2, 1):
+        RS.record(store, rows.filter(F.col("ordinal") % 3 == batch), f"batch-{batch}")
+    return RS.merged(store.read())
+
+
+@query("run_state_counts", f"{RES} SELECT run_id, {_COUNTS} FROM results GROUP BY run_id")
+def run_state_counts(spark, d):
+    """The listing of runs, from states alone."""
+    return RS.counts(_states(spark, d))
+
+
+@query("run_state_metrics", _METRICS_SQL)
+def run_state_metrics(spark, d):
+    return RS.metric_ranges(_states(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query("run_state_best", f"{_best_sql(U.METRICS, _BY_DIRECTION)} SELECT run_id, name AS metric, {PLACE}, value FROM best")
+def run_state_best(spark, d):
+    return RS.best_rows(_states(spark, d))
+
+
+_G = (1 + K.ERROR) / (1 - K.ERROR)
+_VALUE = f"CASE WHEN sg = 0 THEN 0.0 ELSE sg * 2 * power({_G!r}::DOUBLE, sg * b) / ({_G!r}::DOUBLE + 1) END"
+_SKETCH_SQL = f"""{RES}, sketch AS (
+  SELECT run_id, sg, sg * i AS b, count(*) AS n FROM (
+    SELECT run_id, CASE WHEN abs(sharpe) < {K.TINY} THEN 0 ELSE sign(sharpe)::BIGINT END AS sg, CASE WHEN abs(sharpe) < {K.TINY} THEN 0 ELSE ceil(ln(abs(sharpe)) / {math.log(_G)!r}::DOUBLE)::BIGINT END AS i
+    FROM results WHERE isfinite(sharpe)) GROUP BY ALL
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY sg, b) AS upto, sum(n) OVER (PARTITION BY run_id) AS total, {_VALUE} AS v FROM sketch
+), asked AS (
+  SELECT run_id, i, v FROM ranked, (SELECT unnest(range(0, 9)) AS i) WHERE upto > floor(i / 8.0::DOUBLE * (total - 1)) AND upto - n <= floor(i / 8.0::DOUBLE * (total - 1)))"""
+
+
+@query("metric_quantiles", f"{_SKETCH_SQL} SELECT run_id, round(i / 8.0, 6)::DOUBLE AS share, round(v, 6) AS value FROM asked")
+def metric_quantiles(spark, d):
+    """Quantiles from sketches of two halves that are merged."""
+    rows = X.results(spark, d)
+    halves = [K.sketch(rows.filter(F.col("ordinal") % 2 == i), ["run_id"], "sharpe") for i in (0, 1)]
+    both = K.merged_sketch(halves[0].unionByName(halves[1]), ["run_id"])
+    return K.quantiles(both, ["run_id"], [i / 8 for i in range(9)]).select("run_id", F.round("share", 6).alias("share"), F.round("value", 6).alias("value"))
+
+
+@query(
+    "histogram_from_data",
+    f"""{_SKETCH_SQL}, edges AS (SELECT run_id, list(v ORDER BY i) AS e FROM asked GROUP BY run_id),
+    placed AS (SELECT run_id, least(len(list_filter(e, lambda x: x <= v)), 8)::INTEGER AS bin, e, n FROM ranked JOIN edges USING (run_id))
+    SELECT run_id, bin, round(e[bin], 6) AS low, round(e[bin + 1], 6) AS high, sum(n)::BIGINT AS n FROM placed GROUP BY ALL""",
+)
+def histogram_from_data(spark, d):
+    found = K.histogram(X.results(spark, d), ["run_id"], "sharpe", 8)
+    return found.select("run_id", F.col("bin").cast("int").alias("bin"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")

@@ -224,8 +224,8 @@ def test_corporate_events_fall_back_to_actions(spark):
 def test_bars_in_order_and_not_empty(spark):
     frame = spark.createDataFrame([(d, 1.0, 2.0, 0.5, 1.5) for d in (3, 1, 2)], "d int, Open double, High double, Low double, Close double")
     assert [r.date for r in B.normalize_bars(frame, "s", "d").collect()] == [1, 2, 3]
-    with pytest.raises(ValueError, match="No bars"):
-        B.normalize_bars(frame.filter("false"), "s", "d")
+    with pytest.raises(Exception, match="No bars"):
+        B.normalize_bars(frame.filter("false"), "s", "d").collect()
 
 
 def test_compared_and_latest_runs(spark):
