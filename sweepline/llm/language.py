@@ -3,7 +3,7 @@
 A word's letters fall into script ranges, and a script that a language's training texts hardly use rules that
 language out for the word. Among the others a word scores by its letter trigrams (word ends marked) under each
 language. Viterbi over the words of a text, with a penalty for switching, labels spans; a text's language is the
-one whose spans hold most letters. Trigram counts come from a bounded sample of training rows (``SAMPLE_ROWS``).
+one whose spans hold most letters. Trigram counts come from a bounded sample of training ids (``SAMPLE_ROWS``), with one text for each id.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null ``lang`` isn't learned; a null
 ``doc_id`` is never held out nor learned from. Repeated rows each give a row; ties go to the language first in
@@ -14,7 +14,6 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,15 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, is_held_out, map_arrow, table
 
-#: Training rows that the model is fitted on at most.
+#: Training ids that the model is fitted on at most, with one text each.
 SAMPLE_ROWS = 12_000
 #: Trigrams are hashed to so many slots.
 SLOTS = 1 << 16
 SWITCH = 12.0
-# Word characters that are neither letters nor decimal digits: numerals such as ½, ² and Ⅷ.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-#: A run of letters (Unicode category L).
-LETTER_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: A run of word characters but decimal digits and ``_``: letters, and seldom other numerals such as ½, ² and Ⅷ.
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (Unicode category L) of the lower-cased text."""
+    words = _WORDS.findall(text.lower())
+    if not words or "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
 
 # Code point ranges of scripts.
 SCRIPTS = {
@@ -91,7 +97,7 @@ class LanguageModel:
 
     def label(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
         """Words and their languages' numbers, text by text."""
-        split = [LETTER_WORDS.findall(t.lower()) for t in texts]
+        split = [letter_words(t) for t in texts]
         if len(self.known) > self.kept_words:
             self.known, self.table = {}, []
         known = self.known
@@ -152,16 +158,18 @@ def model_of(languages: list[str], counts: np.ndarray, scripts: np.ndarray) -> L
 
 
 def train(docs: DataFrame) -> LanguageModel:
-    """Fit on training rows: at most SAMPLE_ROWS of them, chosen by a hash of the id, in bounded parts a task."""
+    """Fit on at most SAMPLE_ROWS ids, chosen by a hash of the id, and one text of each, in bounded parts a task."""
     usable = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).filter("doc_id is not null and lang is not null and text is not null")
-    ids = usable.filter(~is_held_out()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    rows = usable.join(F.broadcast(ids.distinct()), "doc_id")  # at most SAMPLE_ROWS ids of 8 bytes
+    ids = usable.filter(~is_held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    rows = usable.join(F.broadcast(ids), "doc_id")  # at most SAMPLE_ROWS ids of 8 bytes
+    one = F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang"))  # combined before the shuffle: an id repeated counts once
+    rows = rows.groupBy("doc_id").agg(one.alias("row")).select("row.*")
 
     def run(batches):
         slots, scripts = {}, {}
         for batch in in_slices(batches):
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                words = LETTER_WORDS.findall(text.lower())
+                words = letter_words(text)
                 if words:
                     s, _, of = trigrams(words)
                     slots[lang] = slots.get(lang, 0) + np.bincount(s, minlength=SLOTS)
