@@ -6,12 +6,12 @@ and a footer (number of frames, descriptor byte 0x80, magic 0x8F92EAB1), all lit
 document index; the others hold whole documents' ids. A reader takes the footer, the seek table, the index and then
 only the frames of the documents it wants, and every frame it reads is held against its checksum.
 
-Documents are dealt by ranges of ``doc_id`` and sorted, so files in order hold ids in ascending order. A task
+Documents are dealt by ranges of (``doc_id``, hash of the text, place in the input) and sorted, so files in order hold ids in ascending order. A task
 writes a file of its own name in the shared folder and the manifest names the files that count, so a repeated or
 lost attempt leaves nothing wrong.
 
 Nulls: a null text is an empty one (only the end id); null ids come first. Rows that share an id are documents
-of their own, ordered by text. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
+of their own, ordered by a hash of their text. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ class Encoder:
     def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept, self.known, self.parted = Tokenizer.from_file(path), kept, {}, {}
         told = json.loads(Path(path).read_text(encoding="utf-8"))
         special = [t for t in told.get("added_tokens", []) if any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) or re.search(rf"\s|^[{re.escape(_AFTER)}]|[{re.escape(_AFTER)}]$", t["content"])]
         whole_model = told["model"]["type"] == "BPE" and not told["model"].get("dropout")
@@ -185,14 +185,26 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
 
+    def _parts(self, last: str) -> bool:
+        """Whether marks after this character are a pre-token of their own: the file's own splitter tells, on its normal form."""
+        if last not in self.parted:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(last + ".")) if last else []
+            self.parted[last] = len(pieces) > 1 and pieces[-1][0] == "."
+        return self.parted[last]
+
+    def _ends_before_marks(self, bare: pa.Array, words: pa.Array) -> pa.Array:
+        """Whether a word's trailing marks may be cut off; not where they are one pre-token with what stands before them."""
+        last = pc.utf8_slice_codeunits(pc.if_else(pc.equal(bare, words), "", bare), -1).dictionary_encode()
+        fine = pa.array([self._parts(c) for c in last.dictionary.to_pylist()], pa.bool_())
+        return fine.take(last.indices)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; a null text has none."""
         if not self.by_word:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
         words, codes, offsets = distinct_words(texts)
         bare = pc.utf8_rtrim(words, characters=_AFTER)
-        # Marks are cut off only after a letter or digit: others may be one pre-token with what stands before them.
-        bare = pc.if_else(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), bare, words)
+        bare = pc.if_else(self._ends_before_marks(bare, words), bare, words)
         stems, ends = bare.dictionary_encode(), _tails(words, bare).dictionary_encode()
         named = pa.concat_arrays([stems.dictionary, ends.dictionary]).to_numpy(zero_copy_only=False).tolist()
         flat, starts, lengths = self._pieces(named)
@@ -244,9 +256,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             out.close()
             yield {"part": [part], "file": [name], "n_docs": [n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.n_bytes]}
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    order = F.col("doc_id").asc_nulls_first()
-    ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    # rows of one id, even equal ones, may stand in several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("tie")]
+    ranged = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("hash", "tie")
     return materialize(map_batches(ranged, run, "part int, file string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
 
 
