@@ -5,7 +5,7 @@ copies are summed up in order of (size, doc_id); one offset for the source, draw
 added, and a document is emitted once for each whole number that its stretch of the sum crosses. As every document of a
 source has the same expectation, the sum before a document is its rank times the rate: ranks come from places
 in sorted range partitions plus the counts of the partitions before, so no source meets in one task. Rows travel once, with all their
-columns; rows equal in all of the order may stand in any partition, so a row repeated many times is spread too.
+columns for the mix, without texts for the plan; rows equal in all of the order may stand in any partition, so a row repeated many times is spread too.
 
 Targets share the size of all documents by weight; a target stops at ``most`` times its source's size and what it
 can't take is shared again by weight among the rest: sources sorted by cap / weight stop as long as their
@@ -59,11 +59,12 @@ def source_offset(seed: int, source: str = "source") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def _planned(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> tuple[DataFrame, list[str]]:
-    """``docs`` with five more columns, and their names: id, size, source size, target and copies."""
+def _planned(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, with_text: bool = True) -> tuple[DataFrame, list[str]]:
+    """``docs`` (without the text, if it isn't wanted) with five more columns, and their names: id, size, source size, target and copies."""
     spark = docs.sparkSession
     id_, source_, size_, hash_, tie, part, place = free_names(docs, "id", "source_name", "size", "text_hash", "tie", "part", "place")
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), source_: F.col("source").cast("string"), size_: size_of(), hash_: F.xxhash64("text")})
+    keyed = keyed if with_text else keyed.drop("text")
     order = [F.col(source_).asc_nulls_last(), F.col(size_).asc(), F.col(id_).asc_nulls_first(), F.col(hash_), F.col(tie)]
     ranged = keyed.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     # The low 33 bits of the id are the row's place in its partition.
@@ -88,7 +89,7 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken of every row; see the module's text."""
-    planned, (_, size, source_size, target, copies) = _planned(docs.select("doc_id", "text", "source"), weights, most, seed)
+    planned, (_, size, source_size, target, copies) = _planned(docs.select("doc_id", "text", "source"), weights, most, seed, with_text=False)
     return planned.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(size).alias("size"),
