@@ -7,10 +7,11 @@ all words is the text's score.
 
 Vocabulary: word counts over all documents; the most frequent ``N_WORDS`` have ids of their own, the others share
 ``N_ENDINGS`` ids by their last two letters. A word without an id of its own is charged for its class by the network and for
-the word within the class by its spelling: a model of bytes from the last to the first, counted over all such words. Training: every document gives each ``STRIDE``-th of its words (which
-ones depends on its id), so what is trained on grows with the corpus. Each partition trains from the same start
-in numpy, and the parameters are averaged by trained words, ``ROUNDS`` times; averages are taken in two steps of
-bounded groups.
+the word within the class by its spelling: a model of bytes from the last to the first, counted over all such words. Training: the documents are dealt by hash to shards of about ``SHARD_WORDS`` words, whose number
+depends on the corpus alone. Each shard trains in order of that hash, from the same start, in numpy, and the parameters are averaged by
+trained words, ``ROUNDS`` times; averages are taken in two steps of bounded groups. Round r trains on words r, r + ``STRIDE``, ...
+of each text (shifted by its id): with as many rounds as strides every word of every document is trained on once. Copies of a document are one with a
+weight. Tasks, files and partitions don't change a score.
 
 Nulls: a null text is an empty one; texts without words have score 0 and no mean. A null ``doc_id`` is passed on.
 Repeated rows each give a row. Only ``doc_id`` and ``text`` are read. An empty table gives no rows.
@@ -18,6 +19,7 @@ Repeated rows each give a row. Only ``doc_id`` and ``text`` are read. An empty t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -35,20 +37,41 @@ SIZE = CLASS * CLASSES
 N_ENDINGS = 511
 N_WORDS = SIZE - N_ENDINGS - 1
 OFFSETS = (-2, -1, 1, 2)
-STRIDE, ROUNDS, BATCH = 16, 2, 4096
+STRIDE, ROUNDS, BATCH = 2, 2, 4096
+#: Words that a shard trains on, about, and those that are shuffled together and fitted at a time.
+SHARD_WORDS, FITTED_WORDS = 2_000_000, 524_288
+#: Runs of three bytes that the spelling keeps; of rarer ones only the last two bytes count.
+SPELLED_RUNS = 1 << 20
 TOKENS = re.compile(r"\w+")
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 200_000
 
 
+class _Numbered(dict):
+    """Word -> its number in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def distinct_tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
+    """(distinct words, number of each word in turn, first word of each text and the end)."""
+    split = [TOKENS.findall((t or "").lower()) for t in texts]
+    ends = [0, *itertools.accumulate(map(len, split))]
+    numbers = _Numbered()
+    codes = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(split)), np.int32, ends[-1])
+    return list(numbers), codes, ends
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
     def run(batches):
         counts: Counter = Counter()
         for batch in in_slices(batches):
-            for text in batch["text"]:
-                counts.update(TOKENS.findall((text or "").lower()))
+            words, codes, _ = distinct_tokens(batch["text"])
+            counts.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
             if len(counts) > HELD_WORDS:
                 yield {"word": list(counts), "n": list(counts.values())}
                 counts = Counter()
@@ -84,6 +107,14 @@ def spelling_counts(counts: DataFrame, own: set[str]) -> DataFrame:
     return map_arrow(counts, run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def bounded_spelling(codes: DataFrame) -> DataFrame:
+    """The ``SPELLED_RUNS`` most frequent runs; the rest, with a byte that no text has in place of the first, 65,536 at most; and the endings."""
+    runs = codes.filter(F.col("code") < 1 << 24)
+    often = runs.orderBy(F.col("n").desc(), "code").limit(SPELLED_RUNS)
+    seldom = runs.join(often.select("code"), "code", "left_anti").groupBy((F.col("code").bitwiseAND(0xFFFF) + (0xFF << 16)).alias("code")).agg(F.sum("n").alias("n"))
+    return often.unionByName(seldom).unionByName(codes.filter(F.col("code") >= 1 << 24))
+
+
 class Spelling:
     """log p(word | its ending's class), from ``spelling_counts``: three bytes, then two, then one, then any byte."""
 
@@ -155,14 +186,20 @@ class Vocabulary(dict):
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids, within): the words' ids of every document as 16-bit numbers, and what spelling adds to its score;
-    written once and read by all later passes."""
+    written once and read by all later passes. Each distinct word of a slice is looked up once."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         known = shared.value
         for batch in in_slices(batches):
-            coded = [known.coded(t or "") for t in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "ids": [ids.tobytes() for ids, _ in coded], "within": [within for _, within in coded]}
+            words, codes, ends = distinct_tokens(batch["text"])
+            ids = np.fromiter(map(known.__getitem__, words), "<u2", len(words))
+            spelt = np.zeros(len(words))
+            unknown = np.flatnonzero(ids > N_WORDS)
+            spelt[unknown] = np.fromiter((known.held[words[i]] for i in unknown.tolist()), float, len(unknown))
+            coded = ids[codes]
+            within = [math.fsum(spelt[codes[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield {"doc_id": batch["doc_id"], "ids": [coded[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], "within": within}
 
     return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, within double"), "lm-ids")
 
@@ -199,57 +236,79 @@ class Network:
         return np.tanh(h, out=h)
 
     def log_probs(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
+        out = np.empty(len(target), np.float32)
+        for start in range(0, len(target), SCORED):
+            order, kind, word, bounds = _by_class(target[start : start + SCORED])
+            h = self.hidden(around[:, start : start + SCORED][:, order])
+            found = _log_softmax_at(h @ self.c.T + self.cb, kind)
+            for k in np.flatnonzero(np.diff(bounds)):
+                s = slice(bounds[k], bounds[k + 1])
+                found[s] += _log_softmax_at(h[s] @ self.w[k].T + self.wb[k], word[s])
+            out[start + order] = found
+        return out
+
+    def train(self, target: np.ndarray, around: np.ndarray, squares: Network, rate: float = 0.08, weight: np.ndarray | None = None) -> None:
+        """One AdaGrad step on a batch, of words with equal weights unless they are given."""
+        order, kind, word, bounds = _by_class(target)
+        around, rows = around[:, order], np.arange(len(target))
+        share = np.full(len(target), 1 / len(target), np.float32) if weight is None else (weight[order] / weight.sum()).astype(np.float32)
         h = self.hidden(around)
-        kind = target >> 6
-        order = np.argsort(kind, kind="stable")
-        h, target, kind = h[order], target[order], kind[order]
-        z = h @ self.c.T + self.cb
-        out = z[np.arange(len(z)), kind] - _log_sum(z)
-        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
+        p = _pull(h @ self.c.T + self.cb, rows, kind, share)
+        dh = p @ self.c
+        seen = np.flatnonzero(np.diff(bounds))
+        gw, gb = np.empty((len(seen), CLASS, WIDTH), np.float32), np.empty((len(seen), CLASS), np.float32)
+        gc, gcb = p.T @ h, p.sum(0)
+        for i, k in enumerate(seen):
             s = slice(bounds[k], bounds[k + 1])
-            z = h[s] @ self.w[k].T + self.wb[k]
-            out[s] += z[np.arange(len(z)), target[s] & 63] - _log_sum(z)
-        back = np.empty_like(out)
-        back[order] = out
-        return back
-
-    def train(self, target: np.ndarray, around: np.ndarray, squares: Network, rate: float = 0.08) -> None:
-        """One AdaGrad step on a batch."""
-        n, rows = len(target), np.arange(len(target))
-        h = self.hidden(around)
-        kind, word = target >> 6, target & 63
-        z = h @ self.c.T + self.cb
-        p = np.exp(z - _log_sum(z)[:, None])
-        p[rows, kind] -= 1
-        p /= n
-        dh, grads = p @ self.c, {"c": p.T @ h, "cb": p.sum(0)}
-        gw, gb = np.zeros_like(self.w), np.zeros_like(self.wb)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[k] : bounds[k + 1]]
-            z = h[own] @ self.w[k].T + self.wb[k]
-            p = np.exp(z - _log_sum(z)[:, None])
-            p[np.arange(len(own)), word[own]] -= 1
-            p /= n
-            gw[k], gb[k] = p.T @ h[own], p.sum(0)
-            dh[own] += p @ self.w[k]
+            p = _pull(h[s] @ self.w[k].T + self.wb[k], rows[: bounds[k + 1] - bounds[k]], word[s], share[s])
+            np.matmul(p.T, h[s], out=gw[i])
+            gb[i] = p.sum(0)
+            dh[s] += p @ self.w[k]
         dh *= 1 - h * h
-        for name, g in (*grads.items(), ("w", gw), ("wb", gb)):
-            s = getattr(squares, name)
-            s += g * g
-            getattr(self, name)[...] -= rate * g / np.sqrt(s + 1e-8)
+        every = slice(None)
+        for name, at, g in (("c", every, gc), ("cb", every, gcb), ("w", seen, gw), ("wb", seen, gb)):
+            _step(getattr(self, name), getattr(squares, name), at, g, rate)
         for k in range(len(OFFSETS)):
-            ids, inverse = np.unique(around[k], return_inverse=True)
-            g = np.stack([np.bincount(inverse, dh[:, d], len(ids)) for d in range(WIDTH)], 1).astype(np.float32)
-            squares.e[k][ids] += g * g
-            self.e[k][ids] -= rate * g / np.sqrt(squares.e[k][ids] + 1e-8)
+            near = around[k].astype(np.uint16)
+            by_id = np.argsort(near, kind="stable")
+            near = near[by_id]
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            _step(self.e[k], squares.e[k], near[first], np.add.reduceat(dh[by_id], first, axis=0), rate)
+
+
+#: Words scored at a time.
+SCORED = 16_384
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order by class, classes and words within them in that order, first place of each class and the end)."""
+    order = np.argsort((target >> 6).astype(np.uint8), kind="stable")
+    ordered = target[order]
+    kind = ordered >> 6
+    return order, kind, ordered & 63, np.searchsorted(kind, np.arange(CLASSES + 1))
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
+def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """log softmax of each row at its column; overwrites ``z``."""
     top = z.max(1)
-    return np.log(np.exp(z - top[:, None]).sum(1)) + top
+    picked = z[np.arange(len(z)), column] - top
+    z -= top[:, None]
+    return picked - np.log(np.exp(z, out=z).sum(1))
+
+
+def _pull(z: np.ndarray, rows: np.ndarray, column: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Gradient of the rows' shares of the log loss; overwrites ``z``."""
+    z -= z.max(1)[:, None]
+    np.exp(z, out=z)
+    z *= (share / z.sum(1))[:, None]
+    z[rows, column] -= share
+    return z
+
+
+def _step(values: np.ndarray, squares: np.ndarray, at, g: np.ndarray, rate: float) -> None:
+    s = squares[at] + g * g
+    squares[at] = s
+    values[at] -= rate * g / np.sqrt(s + 1e-8)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,40 +321,64 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return flat[at], np.stack([flat[at + o] for o in OFFSETS]), sizes
 
 
-def _train_round(encoded: DataFrame, net: Network) -> Network:
+def in_shards(encoded: DataFrame, shards: int) -> DataFrame:
+    """(shard, place, doc_id, ids, n): copies combined within each task before the shuffle, one shard after the other in a partition."""
+
+    def combined(batches):
+        for batch in in_slices(batches, "ids", 4_000_000):
+            seen = Counter(zip(batch["doc_id"], batch["ids"], strict=True))
+            yield {"doc_id": [d for d, _ in seen], "ids": [i for _, i in seen], "n": list(seen.values())}
+
+    rows = map_arrow(encoded.select("doc_id", "ids"), combined, "doc_id long, ids binary, n long").filter("length(ids) > 0")
+    place = F.xxhash64("doc_id", "ids")
+    rows = rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), "doc_id", "ids", "n")
+    return rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "ids")
+
+
+def _held(batches):
+    """(shard, [(doc_id, ids, n)]) of about ``FITTED_WORDS`` chosen words each, whatever the batches; equal rows in a row are one."""
+    shard, rows, size = None, [], 0
+    for batch in batches:
+        for at, doc_id, ids, n in zip(batch["shard"], batch["doc_id"], batch["ids"], batch["n"], strict=True):
+            if rows and (at, doc_id, ids) == (shard, rows[-1][0], rows[-1][1]):
+                rows[-1] = (doc_id, ids, rows[-1][2] + n)
+                continue
+            if rows and (at != shard or size >= 2 * STRIDE * FITTED_WORDS):
+                yield shard, rows
+                rows, size = [], 0
+            shard, size = at, size + len(ids)
+            rows.append((doc_id, ids, n))
+    if rows:
+        yield shard, rows
+
+
+def _train_round(encoded: DataFrame, net: Network, turn: int, shards: int) -> Network:
     shared = encoded.sparkSession.sparkContext.broadcast(net.flat)
     blocks = 8
     size = math.ceil(Network.LENGTH / blocks)
 
-    def run(batches):
-        from pyspark import TaskContext
+    def parts(shard, own, seen):
+        return {"block": list(range(blocks)), "task": [shard] * blocks, "n": [float(seen)] * blocks, "part": [own.flat[b * size : (b + 1) * size].astype("<f4").tobytes() for b in range(blocks)]}
 
-        own, squares = Network(shared.value.copy()), Network(np.full(Network.LENGTH, 1e-4, np.float32))
-        seen, held_t, held_a, held = 0, [], [], 0
-        for batch in in_slices(batches, "ids", 1_000_000):
-            target, around, sizes = windows([np.frombuffer(b, "<u2") for b in batch["ids"]])
-            shift = np.repeat([zlib.crc32(str(d).encode()) % STRIDE for d in batch["doc_id"]], sizes)
+    def run(batches):
+        at, own, squares, seen = None, None, None, 0.0
+        for shard, rows in _held(batches):
+            if shard != at:
+                if seen:
+                    yield parts(at, own, seen)
+                at, own, squares, seen = shard, Network(shared.value.copy()), Network(np.full(Network.LENGTH, 1e-4, np.float32)), 0.0
+            target, around, sizes = windows([np.frombuffer(ids, "<u2") for _, ids, _ in rows])
+            shift = np.repeat([zlib.crc32(str(d).encode()) % STRIDE for d, _, _ in rows], sizes)
             inside = np.arange(len(target)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            chosen = (inside + shift) % STRIDE == 0
-            held_t.append(target[chosen])
-            held_a.append(around[:, chosen])
-            held += int(chosen.sum())
-            if held >= 64 * BATCH:
-                seen += _fit(own, squares, held_t, held_a)
-                held_t, held_a, held = [], [], 0
-        if held:
-            seen += _fit(own, squares, held_t, held_a)
+            chosen = np.flatnonzero((inside + shift) % STRIDE == turn % STRIDE)
+            weight = np.repeat([float(n) for *_, n in rows], sizes)[chosen]
+            _fit(own, squares, target[chosen], around[:, chosen], weight)
+            seen += weight.sum()
         if seen:
-            task = TaskContext.get().partitionId()
-            yield {
-                "block": list(range(blocks)),
-                "task": [task] * blocks,
-                "n": [float(seen)] * blocks,
-                "part": [(own.flat[b * size : (b + 1) * size]).astype("<f4").tobytes() for b in range(blocks)],
-            }
+            yield parts(at, own, seen)
 
     schema = "block int, task int, n double, part binary"
-    trained = materialize(map_arrow(encoded.select("doc_id", "ids"), run, schema), "lm-parts")
+    trained = materialize(map_arrow(in_shards(encoded, shards), run, schema), "lm-parts")
     n_tasks = trained.count() // blocks
     if not n_tasks:
         return net
@@ -313,13 +396,11 @@ def _train_round(encoded: DataFrame, net: Network) -> Network:
     return Network(np.concatenate([np.frombuffer(r["part"], "<f4") for r in whole]).astype(np.float32))
 
 
-def _fit(net: Network, squares: Network, targets: list[np.ndarray], around: list[np.ndarray]) -> int:
-    t, a = np.concatenate(targets), np.concatenate(around, axis=1)
-    order = np.random.default_rng(len(t)).permutation(len(t))
+def _fit(net: Network, squares: Network, target: np.ndarray, around: np.ndarray, weight: np.ndarray) -> None:
+    order = np.random.default_rng(len(target)).permutation(len(target))
     for start in range(0, len(order), BATCH):
         own = order[start : start + BATCH]
-        net.train(t[own], a[:, own], squares)
-    return len(t)
+        net.train(target[own], around[:, own], squares, weight=weight[own])
 
 
 def learn_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
@@ -331,14 +412,16 @@ def learn_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     rest = counts.agg(F.sum("n")).first()[0] or 0
     start[1 + N_WORDS :] = max(0, rest - start.sum()) / N_ENDINGS
     words = [r["word"] for r in top]
-    spelling = spelling_counts(counts, set(words)).collect()  # bounded by 2**24 runs of three bytes
+    spelling = bounded_spelling(materialize(spelling_counts(counts, set(words)), "lm-spelling")).collect()
     return Vocabulary(words, Spelling({r["code"]: r["n"] for r in spelling})), start
 
 
 def train(encoded: DataFrame, counts: np.ndarray) -> Network:
+    """``counts`` of all ids tell how many words there are, hence the number of shards."""
+    shards = max(4, math.ceil(counts.sum() / SHARD_WORDS))
     net = Network.start(counts)
-    for _ in range(ROUNDS):
-        net = _train_round(encoded, net)
+    for turn in range(ROUNDS):
+        net = _train_round(encoded, net, turn, shards)
     return net
 
 

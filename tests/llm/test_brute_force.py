@@ -685,3 +685,53 @@ def test_words_without_an_id_are_charged_for_their_spelling(monkeypatch):
         assert ids.tolist() == [own.get(w) or 1 + lm_scoring.N_WORDS + lm_scoring.ending_of(w) for w in words]
         assert within == sum(plain.log_prob(w) for w in unknown) < 0
     assert vocabulary.coded("")[0].tolist() == [] and vocabulary.coded("the a")[1] == 0.0
+
+
+def test_log_probability_by_plain_sums(spark, documents, rows):
+    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
+    encoded = lm_scoring.encode(documents, vocabulary)
+    net = lm_scoring.train(encoded, counts)
+    got = {r.doc_id: r for r in lm_scoring.score(encoded, net).collect()}
+    softmax = lambda z: z - np.log(np.exp(z - z.max()).sum()) - z.max()
+    for doc_id in sorted(rows)[:12]:
+        words = re.findall(r"\w+", (rows[doc_id] or "").lower())[:400]
+        ids = [vocabulary[w] for w in words]
+        total = 0.0
+        for i, (word, own) in enumerate(zip(words, ids, strict=True)):
+            h = np.tanh(sum(net.e[k][ids[i + o] if 0 <= i + o < len(ids) else 0].astype(float) for k, o in enumerate((-2, -1, 1, 2))))
+            total += softmax(net.c.astype(float) @ h + net.cb)[own // 64] + softmax(net.w[own // 64].astype(float) @ h + net.wb[own // 64])[own % 64]
+            total += vocabulary.held.spelling.log_prob(word) if own > lm_scoring.N_WORDS else 0.0
+        short = spark.createDataFrame([(doc_id, " ".join(words))], "doc_id long, text string")
+        (found,) = lm_scoring.score(lm_scoring.encode(short, vocabulary), net).collect()
+        assert found.n_words == len(words) and found.log_prob == pytest.approx(total, rel=1e-4)
+        if len(words) < 400:
+            assert got[doc_id].log_prob == pytest.approx(total, rel=1e-4)
+
+
+def test_scores_dont_depend_on_tasks(spark, documents, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 20_000)
+    copies = documents.unionByName(documents.limit(1).crossJoin(spark.range(50)).drop("id"))
+    runs = []
+    for docs in (copies.repartition(1), copies.repartition(7)):
+        runs.append(sorted((r.doc_id, r.n_words, r.log_prob) for r in lm_scoring.pseudo_likelihood(docs).collect()))
+    assert [r[:2] for r in runs[0]] == [r[:2] for r in runs[1]]
+    assert np.allclose([r[2] for r in runs[0]], [r[2] for r in runs[1]], rtol=1e-6, atol=1e-6)
+
+
+def test_weights_are_copies():
+    counts = np.ones(lm_scoring.SIZE)
+    texts = [np.array([1, 2, 3, 4, 5], np.int32), np.array([9, 8, 7], np.int32)]
+    nets = []
+    for given, weight in ((texts, [3.0] * 5 + [1.0] * 3), ([texts[0]] * 3 + [texts[1]], None)):
+        net, squares = lm_scoring.Network.start(counts), lm_scoring.Network(np.full(lm_scoring.Network.LENGTH, 1e-4, np.float32))
+        target, around, _ = lm_scoring.windows(given)
+        net.train(target, around, squares, weight=None if weight is None else np.array(weight))
+        nets.append(net.flat)
+    assert np.allclose(*nets, atol=1e-5)
+
+
+def test_rare_runs_keep_their_last_bytes(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SPELLED_RUNS", 2)
+    codes = [(0x616263, 9), (0x616264, 8), (0x656263, 1), (0x666263, 2), ((1 << 24) + 5, 3)]
+    got = {r.code: r.n for r in lm_scoring.bounded_spelling(spark.createDataFrame(codes, "code int, n long")).collect()}
+    assert got == {0x616263: 9, 0x616264: 8, 0xFF6263: 3, (1 << 24) + 5: 3}
