@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # How one vendor spells share classes, indices and futures roots.
-SHARE_CLASSES = {s: s.replace(".", "-") for s in ("BRK.B", "BRK.A", "BF.B", "BF.A", "HEI.A", "HEI.B", "LEN.B")}
+SHARE_CLASSES = {
+    "BRK.B": "BRK-B",
+    "BRK.A": "BRK-A",
+    "BF.B": "BF-B",
+    "BF.A": "BF-A",
+    "HEI.A": "HEI-A",
+    "HEI.B": "HEI-B",
+    "LEN.B": "LEN-B",
+}
 INDICES = {
     "SPX": "^GSPC",
     "SP500": "^GSPC",
@@ -24,14 +32,14 @@ INDICES = {
     "EUROSTOXX50": "^STOXX50E",
     "SX5E": "^STOXX50E",
 }
-FUTURES = "GC SI HG PL PA CL NG HO RB BZ ZC ZS ZM ZL ZW ZO KC SB CC CT OJ LE HE GF ZB ZN ZF ZT".split()
+FUTURES = ["GC", "SI", "HG", "PL", "PA", "CL", "NG", "HO", "RB", "BZ", "ZC", "ZS", "ZM", "ZL", "ZW", "ZO", "KC", "SB", "CC", "CT", "OJ", "LE", "HE", "GF", "ZB", "ZN", "ZF", "ZT"]
 
 # Timeframes each vendor knows.
 TIMEFRAMES = {
     "finnhub": {"1m": "1", "5m": "5", "15m": "15", "30m": "30", "1h": "60", "4h": "240", "1d": "D"},
     "twelvedata": {"1m": "1min", "5m": "5min", "15m": "15min", "30m": "30min", "1h": "1h", "2h": "2h", "4h": "4h", "1d": "1day"},
     "yahoo": {"1m": "1m", "2m": "2m", "5m": "5m", "15m": "15m", "30m": "30m", "60m": "60m", "90m": "90m", "1h": "60m", "1d": "1d", "1w": "1wk", "1wk": "1wk", "1mo": "1mo"},
-    "ccxt": {t: t for t in "1m 3m 5m 15m 30m 1h 2h 4h 6h 12h 1d 1w 1M".split()},
+    "ccxt": {"1m": "1m", "3m": "3m", "5m": "5m", "15m": "15m", "30m": "30m", "1h": "1h", "2h": "2h", "4h": "4h", "6h": "6h", "12h": "12h", "1d": "1d", "1w": "1w", "1M": "1M"},
 }
 
 

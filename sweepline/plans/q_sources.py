@@ -234,6 +234,26 @@ def bars_parquet_sink(spark, d):
     return _back(storage.bars_parquet_scan(spark, path, "A/B", "1d"))
 
 
+@query(
+    "bars_store_writes",
+    f"""WITH {X.BARS_SQL}, hourly AS (
+      SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(100 + value, event_id) AS open, max(100 + value) AS high, min(100 + value) AS low, arg_max(100 + value, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL)
+    SELECT 'one' AS source, '1d' AS timeframe, symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM bars WHERE symbol >= '3'
+    UNION ALL SELECT 'one', '1d', symbol, {TS_SQL}, round(open + 1, 6), round(high + 1, 6), round(low + 1, 6), round(close + 1, 6), volume FROM bars WHERE symbol < '3' AND ts < TIMESTAMP '1996-01-01'
+    UNION ALL SELECT 'two', '1d', symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM bars UNION ALL SELECT 'one', '1h', symbol, {TS_SQL}, {r6_sql(*OHLCV)} FROM hourly""",
+)
+def bars_store_writes(spark, d):
+    """Four writes to one store: a second source, a second timeframe, and some series of the first anew; all other series stay."""
+    path, bars = storage.shared_folder(spark, "bars"), _bars(spark, d).drop("close_key")
+    tagged = lambda rows, source, timeframe: rows.withColumns({"source": F.lit(source), "timeframe": F.lit(timeframe)})
+    storage.bars_parquet_sink(tagged(bars, "one", "1d"), path)
+    storage.bars_parquet_sink(tagged(bars, "two", "1d"), path)
+    storage.bars_parquet_sink(tagged(X.bars_events(spark, d).drop("close_key"), "one", "1h"), path)
+    again = bars.filter("symbol < '3' and ts < timestamp_ntz '1996-01-01'").withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")})
+    storage.bars_parquet_sink(tagged(again, "one", "1d"), path)
+    return storage.bars_store(spark, path).read().select("source", "timeframe", "symbol", ts_text(), *r6(*OHLCV))
+
+
 @query(
     "results_csv_scan",
     f"WITH {X.RESULTS_SQL} SELECT collection, symbol, timeframe, strategy, params, metric_value, omega, CASE WHEN isnan(sharpe) THEN NULL ELSE sharpe END AS sharpe FROM (SELECT * REPLACE (CASE WHEN omega IS NULL THEN 'nan'::DOUBLE ELSE omega END AS omega) FROM results)",
