@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -103,6 +104,22 @@ def distinct_words(texts: pa.Array, pattern: str | None = None) -> tuple[pa.Arra
     return words, codes, offsets
 
 
+class _Numbered(dict):
+    """Value -> its number in order of appearance."""
+
+    def __missing__(self, value):
+        self[value] = found = len(self)
+        return found
+
+
+def numbered(lists: list[list[str]]) -> tuple[list[str], np.ndarray, list[int]]:
+    """(distinct values, number of each value in turn, first value of each list and the end)."""
+    ends = [0, *itertools.accumulate(map(len, lists))]
+    numbers = _Numbered()
+    codes = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(lists)), np.int32, ends[-1])
+    return list(numbers), codes, ends
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each stretch of ``values``; 0 for an empty one."""
     out = np.zeros(len(offsets) - 1, values.dtype)

@@ -19,7 +19,6 @@ Repeated rows each give a row. Only ``doc_id`` and ``text`` are read. An empty t
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import zlib
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, map_arrow, materialize, table
+from .common import in_slices, map_arrow, materialize, numbered, table
 
 CLASS, CLASSES, WIDTH = 64, 64, 24
 SIZE = CLASS * CLASSES
@@ -47,21 +46,9 @@ TOKENS = re.compile(r"\w+")
 HELD_WORDS = 200_000
 
 
-class _Numbered(dict):
-    """Word -> its number in order of appearance."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = found = len(self)
-        return found
-
-
 def distinct_tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
     """(distinct words, number of each word in turn, first word of each text and the end)."""
-    split = [TOKENS.findall((t or "").lower()) for t in texts]
-    ends = [0, *itertools.accumulate(map(len, split))]
-    numbers = _Numbered()
-    codes = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(split)), np.int32, ends[-1])
-    return list(numbers), codes, ends
+    return numbered([TOKENS.findall((t or "").lower()) for t in texts])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

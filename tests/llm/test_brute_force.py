@@ -493,12 +493,13 @@ def test_leaks(spark, data, documents, rows):
     assert verbatim and verbatim <= found
 
 
-def test_reordered_passages_and_blocks(spark, monkeypatch):
+def test_reordered_passages_and_bit_tables(spark, monkeypatch):
     item = "one two three four five six seven. alpha beta gamma delta epsilon zeta eta."
     docs = spark.createDataFrame([(1, "xx alpha beta gamma delta epsilon zeta eta yy one two three four five six seven zz"), (2, "one two three four five other words"), (3, "nothing here")], "doc_id long, text string")
     items = spark.createDataFrame([(0, item), (1, "some other item of words that no text has")], "item_id long, text string")
-    for block in (2_000_000, 5):
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    for bits, slab in ((26, 1 << 20), (16, 1)):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        monkeypatch.setattr(decontaminate, "SLAB", slab)
         got = decontaminate.leaks(docs, items).collect()
         assert [(r.doc_id, r.item_id, r.coverage, r.tiles) for r in got] == [(1, 0, 1.0, 2)]
         assert [r.doc_id for r in decontaminate.without_leaks(docs, items).orderBy("doc_id").collect()] == [2, 3]
@@ -735,3 +736,54 @@ def test_rare_runs_keep_their_last_bytes(spark, monkeypatch):
     codes = [(0x616263, 9), (0x616264, 8), (0x656263, 1), (0x666263, 2), ((1 << 24) + 5, 3)]
     got = {r.code: r.n for r in lm_scoring.bounded_spelling(spark.createDataFrame(codes, "code int, n long")).collect()}
     assert got == {0x616263: 9, 0x616264: 8, 0xFF6263: 3, (1 << 24) + 5: 3}
+
+
+def plain_leaks(docs, items, width=5, least=0.5):
+    """Every text against every item by plain tiling."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = []
+    for doc_id, text in docs:
+        doc = split(text)
+        for item_id, words in ((i, split(t)) for i, t in items):
+            if 0 < len(words) < width:
+                if any(doc[k : k + len(words)] == words for k in range(len(doc) - len(words) + 1)):
+                    out.append((doc_id, item_id, 1.0, len(words), 1))
+            elif words:
+                marked = plain_tiles(doc, words, width)
+                n = sum(t[2] for t in marked)
+                if n / len(words) >= least:
+                    out.append((doc_id, item_id, n / len(words), n, len(marked)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_all_pairs(spark, monkeypatch, seed):
+    """Neither lost nor false finds, over a small alphabet where chance matches and repeated words are common."""
+    monkeypatch.setattr(decontaminate, "SLAB", 7)
+    rng = np.random.default_rng(seed)
+    words = lambda n, k: " ".join("abcdefghij"[i] for i in rng.integers(0, k, n))
+    items = [(i, words(rng.integers(1, 14), 5)) for i in range(12)] + [(20, "a a a a a a a a"), (20, "b a b a b a"), (None, "c d e a b c"), (21, None), (22, "")]
+    docs = [(i, words(rng.integers(0, 60), 5)) for i in range(40)] + [(50, "a " * 90), (51, "b a " * 40), (50, "a " * 90), (None, items[3][1]), (52, None)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_leaks(docs, items)
+
+
+def test_leaks_of_the_documents_are_no_false_finds(spark, data, documents, rows):
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    known = {i.item_id: split(i.text) for i in items.collect()}
+    for r in decontaminate.leaks(documents, items).collect():
+        doc, item = split(rows[r.doc_id]), known[r.item_id]
+        runs = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        covered = {k + j for k in range(len(item) - 4) if tuple(item[k : k + 5]) in runs for j in range(5)}
+        assert r.coverage >= 0.5 and len(covered) >= r.matched_words >= 0.5 * len(item)
+
+
+def test_words_repeated_on_both_sides_are_quick(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "same " * 60_000), (2, "same other " * 20_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, "same " * 200), (1, "other same " * 100)], "item_id long, text string")
+    began = time.time()
+    got = sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
+    assert got == [(1, 0, 1.0, 200, 1), (2, 1, 1.0, 200, 1)] and time.time() - began < 60
