@@ -189,7 +189,7 @@ def _join_tables(words: int, budget: int):
             return
         frame = pd.concat(held, ignore_index=True)
         bits = np.frombuffer(b"".join(frame["bits"]), ">u8").astype(np.uint64).reshape(-1, words)
-        keys = [frame[c].to_numpy() for c in ("part_b", "part_a", "block", "tbl")]
+        keys = [frame[c].to_numpy() for c in ("part_b", "part_a", "block")]
         order = np.lexsort([*(bits[:, w] for w in reversed(range(words))), *keys])
         bits = bits[order]
         change = np.zeros(len(bits), bool)
@@ -233,20 +233,21 @@ def trie_links(nodes: DataFrame, words: int, budget: int, tables: list[Blocks])
         value = F.conv(F.substring(hexed, first + 1, last - first), 16, 10).cast("long")
         return F.shiftright(value, last * 4 - offset - length).bitwiseAND((1 << length) - 1)
 
-    blocks = F.array(*(F.struct(F.lit(t).alias("tbl"), F.xxhash64(*(block_of(*b) for b in chosen)).alias("block")) for t, chosen in enumerate(tables)))
-    rows = nodes.select("bits", F.inline(blocks)).select("tbl", "block", "bits")
-    sizes = rows.groupBy("tbl", "block").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table and the value of its blocks, as one key
+    blocks = F.array(*(F.xxhash64(F.lit(t), *(block_of(*b) for b in chosen)) for t, chosen in enumerate(tables)))
+    rows = nodes.select("bits", F.explode(blocks).alias("block"))
+    sizes = materialize(rows.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-blocks")
     parts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    sized = rows.join(sizes, ["tbl", "block"]).withColumn("parts", parts)
+    sized = hot_join(rows, sizes, "block", "n", nodes.count() * len(tables)).withColumn("parts", parts)
     own = F.pmod(F.xxhash64("bits"), F.col("parts")).cast("int")
     sized = sized.withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
-    dealt = sized.select("tbl", "block", "bits", "own", F.explode(others).alias("other")).select(
-        "tbl", "block", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "bits"
+    dealt = sized.select("block", "bits", "own", F.explode(others).alias("other")).select(
+        "block", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "bits"
     )
     dealt = materialize(dealt, "simhash-tables")
     tasks = max(1, math.ceil(dealt.count() / TASK_ROWS))
-    spread = dealt.repartition(tasks, "tbl", "block", "part_a", "part_b")
+    spread = dealt.repartition(tasks, "block", "part_a", "part_b")
     return spread.mapInPandas(_join_tables(words, budget), "a binary, b binary")
 
 
@@ -338,7 +339,8 @@ def band_links(nodes: DataFrame) -> DataFrame:
     """(a, b) of fingerprints ``bits`` whose ``bands`` have a key in common: each with the key's smallest."""
     rows = nodes.select(F.explode("bands").alias("band"), "bits")
     low = rows.groupBy("band").agg(F.min("bits").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(low, "band").filter("bits != b").select(F.col("bits").alias("a"), "b").distinct()
+    low = materialize(low, "near-bands")
+    return hot_join(rows, low, "band", "n", nodes.count() * BANDS).filter("bits != b").select(F.col("bits").alias("a"), "b").distinct()
 
 
 def _marked(docs: DataFrame, shingle_words: int, words: int) -> DataFrame:
