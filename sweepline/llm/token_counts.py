@@ -4,8 +4,8 @@ A pre-token is a run of characters that aren't ASCII white space, after a word m
 word into vocabulary pieces depends, at each place, only on the characters before it; words that share a prefix
 share these forward scores. So the distinct pre-tokens of a batch go into one trie, a node's best score and piece
 count are worked out once, and a node that ends a word holds that word's count. Documents then only look words up.
-Words enter the trie in sorted order, which is its depth-first order: only the branch to the last word is held, so
-memory goes with the longest word, not with the number of nodes. A node also holds where in the trie of pieces the pieces
+Words enter the trie in sorted order, which is its depth-first order: only the branch to the last word is held, and of
+it ``DEEPEST`` nodes, so memory goes neither with the number of nodes nor with the longest word. A node also holds where in the trie of pieces the pieces
 stand that are still open there, so each new character costs a step for each open piece.
 
 The vocabulary is that of a public tokenizer file (a parameter). The file ranks its pieces but has no
@@ -29,6 +29,8 @@ from .common import arrow_slices, distinct_words, map_batches, sums, table
 MARK = "▁"
 #: Words whose counts a task keeps from batch to batch, and their longest; it then begins anew. Bounds memory, changes no count.
 KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+#: Nodes of a branch that are held; what follows in a longer word is worked out with its last node alone, and anew for each such word.
+DEEPEST = 4096
 
 
 def zipf_pieces(model_path: str) -> dict[str, float]:
@@ -70,27 +72,31 @@ class PreTokenTrie:
         for word in sorted(words):
             text = MARK + word
             same = 0
-            for x, y in zip(text, last, strict=False):
+            for x, y in zip(text[:DEEPEST], last, strict=False):
                 if x != y:
                     break
                 same += 1
             del branch[same + 1 :]
-            for char in text[same:]:
-                score, count, open_ = branch[-1]
-                n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
-                best, tokens, still = score + byte_score * n, count + n, []
-                for follows, s, c in (*open_, (pieces, score, count)):
-                    below = follows.get(char)
-                    if below is not None:
-                        own, deeper = below
-                        if own is not None:
-                            own += s
-                            if own > best or (own == best and c + 1 < tokens):
-                                best, tokens = own, c + 1
-                        if deeper:
-                            still.append((deeper, s, c))
-                branch.append((best, tokens, still))
-            ends[word], last = (branch[-1][1], branch[-1][0]), text
+            node = branch[-1]
+            for part, held in ((text[same:DEEPEST], True), (text[DEEPEST:], False)):
+                for char in part:
+                    score, count, open_ = node
+                    n = 1 if char < "\x80" else len(char.encode("utf-8", "surrogatepass"))
+                    best, tokens, still = score + byte_score * n, count + n, []
+                    for follows, s, c in (*open_, (pieces, score, count)):
+                        below = follows.get(char)
+                        if below is not None:
+                            own, deeper = below
+                            if own is not None:
+                                own += s
+                                if own > best or (own == best and c + 1 < tokens):
+                                    best, tokens = own, c + 1
+                            if deeper:
+                                still.append((deeper, s, c))
+                    node = (best, tokens, still)
+                    if held:
+                        branch.append(node)
+            ends[word], last = (node[1], node[0]), text[:DEEPEST]
         return ends
 
 

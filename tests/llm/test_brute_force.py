@@ -787,3 +787,20 @@ def test_words_repeated_on_both_sides_are_quick(spark):
     began = time.time()
     got = sorted(tuple(r) for r in decontaminate.leaks(docs, items).collect())
     assert got == [(1, 0, 1.0, 200, 1), (2, 1, 1.0, 200, 1)] and time.time() - began < 60
+
+
+def test_memory_of_a_long_word_is_bounded(monkeypatch):
+    import tracemalloc
+
+    pieces = {"▁": -1.0, "a": -2.0, "ab": -2.5, "abc": -2.6, "bcab": -3.0, "▁ab": -2.2}
+    whole = token_counts.PreTokenTrie(pieces)
+    words = ["abcabcab" * 40, "abcabcab" * 40 + "x", "abcabcab" * 39 + "zé", "b", "abcab"]
+    want = whole.count(words)
+    monkeypatch.setattr(token_counts, "DEEPEST", 5)
+    assert whole.count(words) == want
+    monkeypatch.setattr(token_counts, "DEEPEST", 4096)
+    tracemalloc.start()
+    whole.count(["abc" * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
