@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import float_text
+from .frames import window_start
 
 PRICES = ("open", "high", "low", "close")
 
 
 def ticks_to_bars(ticks: DataFrame, symbol: str, ts: str, price: Column | str, order: str, unit: str) -> DataFrame:
-    """(symbol, ts, open, high, low, close, volume) by time unit; first and last price by ``order``. Partial
-    aggregation runs before the one shuffle."""
+    """(symbol, ts, open, high, low, close, volume) by time unit (``day``) or timeframe of n units (``4h``); first and last price
+    by ``order``. Partial aggregation runs before the one shuffle."""
     p = F.col(price) if isinstance(price, str) else price
-    return ticks.groupBy(F.col(symbol).alias("symbol"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("ts")).agg(
+    start = window_start(ts, unit) if unit[:1].isdigit() else F.date_trunc(unit, ts).cast("timestamp_ntz")
+    return ticks.groupBy(F.col(symbol).alias("symbol"), start.alias("ts")).agg(
         F.min_by(p, order).alias("open"),
         F.max(p).alias("high"),
         F.min(p).alias("low"),

@@ -52,6 +52,12 @@ def ticks_to_frames(spark, d):
     return _event_frames(spark, d, list(FRAMES)).select("timeframe", "symbol", ts_text(), *r6(*OHLCV))
 
 
+@query("ticks_to_bars_4h", _frame_sql("4h"))
+def ticks_to_bars_4h(spark, d):
+    bars = B.ticks_to_bars(X.table(spark, d, "events"), "event_type", "ts", 100 + F.col("value"), "event_id", "4h")
+    return bars.select(F.lit("4h").alias("timeframe"), "symbol", ts_text(), *r6(*OHLCV))
+
+
 @query("frames_from_finer", " UNION ALL ".join(map(_frame_sql, ("4h", "1w", "1mo"))))
 def frames_from_finer(spark, d):
     """Coarse bars from the states of fine ones: 1h to 4h, 4h to 1w, 1h to months."""

@@ -190,6 +190,19 @@ def universe_union(spark, d):
     return X.tickers(spark, d).filter(F.col("exchange").isin("A", "N", "R"))  # one scan
 
 
+_VOLUMES = "SELECT l_returnflag AS exchange, p_brand AS symbol, sum(l_extendedprice) FILTER (WHERE l_quantity > 45) AS quote_volume, sum(l_quantity) FILTER (WHERE l_discount > 0.02) AS base_volume, p_brand < 'Brand#3' AS has_quote FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+
+
+@query("ticker_volume", f"SELECT exchange, symbol, round(CASE WHEN has_quote THEN coalesce(quote_volume, 0) ELSE coalesce(base_volume, 0) END, 4) AS volume FROM ({_VOLUMES})")
+def ticker_volume(spark, d):
+    li, p = X.table(spark, d, "lineitem"), X.table(spark, d, "part")
+    rows = li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("l_returnflag").alias("exchange"), F.col("p_brand").alias("symbol")).agg(
+        F.sum(F.when(F.col("l_quantity") > 45, F.col("l_extendedprice"))).alias("quote_volume"), F.sum(F.when(F.col("l_discount") > 0.02, F.col("l_quantity"))).alias("base_volume")
+    )
+    rows = rows.withColumn("has_quote", F.col("symbol") < "Brand#3")
+    return rows.select("exchange", "symbol", F.round(V.volume_of("quote_volume", "base_volume", "has_quote"), 4).alias("volume"))
+
+
 _MERGED = "merged AS (SELECT symbol, exchange, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, exchange DESC) AS n FROM tickers) WHERE n = 1)"
 
 
