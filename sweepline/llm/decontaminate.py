@@ -38,6 +38,8 @@ from .common import free_names, in_slices, map_arrow, map_batches, materialize,
 TOKENS = re.compile(r"[^\W_]+")
 #: Bits of a bit table, as powers of two: 64 for each entry between these bounds.
 LEAST_BITS, MOST_BITS = 16, 26
+#: Characters of texts that are split together; their words take some fifty times as many bytes.
+SLICE_CHARS = 2_000_000
 #: Pairs of equal runs looked at together.
 SLAB = 1 << 20
 #: Odd bases of the two Karp-Rabin values.
@@ -211,7 +213,7 @@ def _places(docs: DataFrame, known: BitTable, widths: list[int], seed_words: int
 
     def run(batches):
         table_ = shared.value
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, chars=SLICE_CHARS):
             texts = [t or "" for t in batch["text"]]
             words, codes, ends = numbered([tokens(t) for t in texts])
             flat, ends = word_hashes(words)[codes], np.array(ends)

@@ -155,7 +155,7 @@ class Encoder:
     encoded once, without the marks that end it, and its ids are kept (at most ``kept`` words); any other file encodes whole texts.
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.known, self.parted = Tokenizer.from_file(path), kept, {}, {}
@@ -243,7 +243,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         fs, root = open_fs(folder)
         name, n_docs, end = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst", 0, np.array([end_id], "<u4")
         encode = encoder(tokenizer_path).encode
-        for batch in arrow_slices(batches):
+        for batch in arrow_slices(batches, size=4_000_000):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}", compression=None)
