@@ -42,7 +42,9 @@ SHARD_WORDS, FITTED_WORDS = 2_000_000, 524_288
 #: Runs of three bytes that the spelling keeps; of rarer ones only the last two bytes count.
 SPELLED_RUNS = 1 << 20
 TOKENS = re.compile(r"\w+")
-#: Distinct words that a task counts before it hands its counts on.
+#: Characters of texts that are split together.
+SLICE_CHARS = 4_000_000
+#: Words whose ids a task keeps.
 HELD_WORDS = 200_000
 
 
@@ -51,20 +53,23 @@ def distinct_tokens(texts: list[str | None]) -> tuple[list[str], np.ndarray, lis
     return numbered([TOKENS.findall((t or "").lower()) for t in texts])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents."""
+def tokenized(docs: DataFrame) -> DataFrame:
+    """(words, counts, doc_ids, sizes, codes): a row for each slice of ``SLICE_CHARS`` characters, its texts as numbers of its own
+    distinct words. Texts are split once; all else reads this."""
 
     def run(batches):
-        counts: Counter = Counter()
-        for batch in in_slices(batches):
-            words, codes, _ = distinct_tokens(batch["text"])
-            counts.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
-            if len(counts) > HELD_WORDS:
-                yield {"word": list(counts), "n": list(counts.values())}
-                counts = Counter()
-        yield {"word": list(counts), "n": list(counts.values())}
+        for batch in in_slices(batches, chars=SLICE_CHARS):
+            words, codes, ends = distinct_tokens(batch["text"])
+            yield {"words": [words], "counts": [np.bincount(codes, minlength=len(words))], "doc_ids": [batch["doc_id"]], "sizes": [np.diff(ends)], "codes": [codes.astype("<i4").tobytes()]}
+
+    schema = "words array<string>, counts array<long>, doc_ids array<long>, sizes array<int>, codes binary"
+    return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema), "lm-tokens")
 
-    return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """(word, n) over all documents."""
+    pairs = tokens.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
+    return pairs.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def ending_of(word: str) -> int:
@@ -127,27 +132,22 @@ class Spelling:
         return found
 
     def log_prob(self, word: str) -> float:
-        data, total, logs = spelled(word), 0.0, self.logs
-        for x, y, z in zip(data, data[1:], data[2:], strict=False):
-            code = x << 16 | y << 8 | z
-            p = logs.get(code)
-            total += self._log(code) if p is None else p
-        share = (self.endings.get(ending_of(word), 0) + 0.5) / (self.total + 0.5 * N_ENDINGS)
-        return min(0.0, total - math.log(share))
-
-
-class SpelledWords(dict):
-    """Word -> log p(word | class) by its spelling, kept for at most ``HELD_WORDS`` words."""
-
-    def __init__(self, spelling: Spelling):
-        super().__init__()
-        self.spelling = spelling
-
-    def __missing__(self, word: str) -> float:
-        found = self.spelling.log_prob(word)
-        if len(self) < HELD_WORDS:
-            self[word] = found
-        return found
+        return float(self.log_probs([word])[0])
+
+    def log_probs(self, words: list[str]) -> np.ndarray:
+        """log p of each word; each run of three bytes is looked up once."""
+        if not words:
+            return np.zeros(0)
+        data = np.frombuffer(b"".join(map(spelled, words)), np.uint8).astype(np.int32)
+        sizes = np.fromiter((len(w.encode("utf-8", "surrogatepass")) + 1 for w in words), np.int64, len(words))  # runs of a word
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(len(words)), sizes)  # a word has two more bytes than runs
+        codes, which = np.unique(data[at] << 16 | data[at + 1] << 8 | data[at + 2], return_inverse=True)
+        logs = self.logs
+        each = np.fromiter((logs[c] if c in logs else self._log(c) for c in codes.tolist()), float, len(codes))
+        total = np.add.reduceat(each[which], first)
+        share = np.fromiter(((self.endings.get(ending_of(w), 0) + 0.5) for w in words), float, len(words)) / (self.total + 0.5 * N_ENDINGS)
+        return np.minimum(0.0, total - np.log(share))
 
 
 class Vocabulary(dict):
@@ -155,7 +155,7 @@ class Vocabulary(dict):
 
     def __init__(self, words: list[str], spelling: Spelling | None = None):
         super().__init__((w, i + 1) for i, w in enumerate(words[:N_WORDS]))
-        self.held = SpelledWords(spelling or Spelling({}))
+        self.spelling = spelling or Spelling({})
 
     def __missing__(self, word: str) -> int:
         found = 1 + N_WORDS + ending_of(word)
@@ -163,32 +163,32 @@ class Vocabulary(dict):
             self[word] = found
         return found
 
-    def coded(self, text: str) -> tuple[np.ndarray, float]:
-        """The words' ids, and the sum of log p(word | class) of the words without an id of their own."""
-        words = TOKENS.findall(text.lower())
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, and log p(word | class) of those without an id of their own (0 of the others)."""
         ids = np.fromiter(map(self.__getitem__, words), "<u2", len(words))
-        unknown = map(words.__getitem__, np.flatnonzero(ids > N_WORDS).tolist())
-        return ids, sum(map(self.held.__getitem__, unknown), 0.0)
+        spelt, unknown = np.zeros(len(words)), np.flatnonzero(ids > N_WORDS)
+        spelt[unknown] = self.spelling.log_probs([words[i] for i in unknown.tolist()])
+        return ids, spelt
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encode(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids, within): the words' ids of every document as 16-bit numbers, and what spelling adds to its score;
     written once and read by all later passes. Each distinct word of a slice is looked up once."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         known = shared.value
-        for batch in in_slices(batches):
-            words, codes, ends = distinct_tokens(batch["text"])
-            ids = np.fromiter(map(known.__getitem__, words), "<u2", len(words))
-            spelt = np.zeros(len(words))
-            unknown = np.flatnonzero(ids > N_WORDS)
-            spelt[unknown] = np.fromiter((known.held[words[i]] for i in unknown.tolist()), float, len(unknown))
-            coded = ids[codes]
-            within = [math.fsum(spelt[codes[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield {"doc_id": batch["doc_id"], "ids": [coded[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], "within": within}
+        for batch in batches:
+            for words, doc_ids, sizes, codes in zip(batch["words"], batch["doc_ids"], batch["sizes"], batch["codes"], strict=True):
+                ids, spelt = known.coded(words)
+                codes = np.frombuffer(codes, "<i4")
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                upto = np.concatenate([[0.0], np.cumsum(spelt[codes])])
+                within = (upto[ends[1:]] - upto[ends[:-1]]).tolist()
+                coded, ends = ids[codes], ends.tolist()
+                yield {"doc_id": doc_ids, "ids": [coded[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], "within": within}
 
-    return materialize(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, within double"), "lm-ids")
+    return materialize(map_arrow(tokens.select("words", "doc_ids", "sizes", "codes"), run, "doc_id long, ids binary, within double"), "lm-ids")
 
 
 class Network:
@@ -217,9 +217,9 @@ class Network:
         return net
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.e[0][around[0]]
+        h = self.e[0].take(around[0], 0)
         for k in range(1, len(OFFSETS)):
-            h += self.e[k][around[k]]
+            h += self.e[k].take(around[k], 0)
         return np.tanh(h, out=h)
 
     def log_probs(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -258,9 +258,12 @@ class Network:
         for k in range(len(OFFSETS)):
             near = around[k].astype(np.uint16)
             by_id = np.argsort(near, kind="stable")
-            near = near[by_id]
-            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-            _step(self.e[k], squares.e[k], near[first], np.add.reduceat(dh[by_id], first, axis=0), rate)
+            near = near.take(by_id)
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1], [True]]))
+            upto = np.zeros((len(near) + 1, WIDTH))
+            np.cumsum(dh.take(by_id, 0), axis=0, out=upto[1:])
+            upto = upto.take(first, 0)
+            _step(self.e[k], squares.e[k], near[first[:-1]], (upto[1:] - upto[:-1]).astype(np.float32), rate)
 
 
 #: Words scored at a time.
@@ -275,21 +278,33 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return order, kind, ordered & 63, np.searchsorted(kind, np.arange(CLASSES + 1))
 
 
-def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """log softmax of each row at its column; overwrites ``z``."""
+_ONES = {n: np.ones(n, np.float32) for n in {CLASS, CLASSES}}
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exp(z - top), its row sums, top). ``top`` is 0 unless a row would leave the range of 32-bit numbers."""
+    with np.errstate(over="ignore"):
+        p = np.exp(z)
+        sums = p @ _ONES[z.shape[1]]
+    if np.isfinite(sums).all() and sums.all():
+        return p, sums, 0.0
     top = z.max(1)
-    picked = z[np.arange(len(z)), column] - top
-    z -= top[:, None]
-    return picked - np.log(np.exp(z, out=z).sum(1))
+    p = np.exp(z - top[:, None])
+    return p, p @ _ONES[z.shape[1]], top
+
+
+def _log_softmax_at(z: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """log softmax of each row at its column."""
+    _, sums, top = _exp(z)
+    return z[np.arange(len(z)), column] - top - np.log(sums)
 
 
 def _pull(z: np.ndarray, rows: np.ndarray, column: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Gradient of the rows' shares of the log loss; overwrites ``z``."""
-    z -= z.max(1)[:, None]
-    np.exp(z, out=z)
-    z *= (share / z.sum(1))[:, None]
-    z[rows, column] -= share
-    return z
+    """Gradient of the rows' shares of the log loss."""
+    p, sums, _ = _exp(z)
+    p *= (share / sums)[:, None]
+    p[rows, column] -= share
+    return p
 
 
 def _step(values: np.ndarray, squares: np.ndarray, at, g: np.ndarray, rate: float) -> None:
@@ -390,9 +405,9 @@ def _fit(net: Network, squares: Network, target: np.ndarray, around: np.ndarray,
         net.train(target[own], around[:, own], squares, weight=weight[own])
 
 
-def learn_vocabulary(docs: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+def learn_vocabulary(tokens: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the counts of its ids, from counts over all documents."""
-    counts = materialize(word_counts(docs), "lm-words")
+    counts = materialize(word_counts(tokens), "lm-words")
     top = counts.orderBy(F.col("n").desc(), "word").limit(N_WORDS).collect()  # the vocabulary's size is a parameter
     start = np.zeros(SIZE)
     start[1 : len(top) + 1] = [r["n"] for r in top]
@@ -432,8 +447,9 @@ def score(encoded: DataFrame, net: Network) -> DataFrame:
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob, mean_log_prob of every row, by a network trained on them; see the module's text."""
-    vocabulary, counts = learn_vocabulary(docs)
-    encoded = encode(docs, vocabulary)
+    tokens = tokenized(docs)
+    vocabulary, counts = learn_vocabulary(tokens)
+    encoded = encode(tokens, vocabulary)
     return score(encoded, train(encoded, counts))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -645,25 +646,25 @@ def test_windows_by_loop():
 
 
 def test_scores_tell_shuffled_texts(spark, documents):
-    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
-    net = lm_scoring.train(lm_scoring.encode(documents, vocabulary), counts)
+    vocabulary, counts = lm_scoring.learn_vocabulary(lm_scoring.tokenized(documents))
+    net = lm_scoring.train(lm_scoring.encode(lm_scoring.tokenized(documents), vocabulary), counts)
     texts = [r.text for r in documents.filter("length(text) > 1000 and lang = 'en'").limit(15).collect()]
     rng = np.random.default_rng(3)
     noise = [" ".join("".join(rng.permutation(list(w))) for w in t.split()) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts + noise)), "doc_id long, text string")
-    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
+    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(lm_scoring.tokenized(docs), vocabulary), net).collect()}
     assert sum(got[i] > got[i + len(texts)] for i in range(len(texts))) > 0.8 * len(texts)
 
 
 def test_invented_words_score_below_the_words_they_stand_for(spark, documents):
-    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
+    vocabulary, counts = lm_scoring.learn_vocabulary(lm_scoring.tokenized(documents))
     net = lm_scoring.Network.start(counts)
     texts = [r.text for r in documents.filter("length(text) > 1000 and lang = 'en'").collect()]
     texts = [t for t in texts if any(vocabulary[w] > lm_scoring.N_WORDS for w in lm_scoring.TOKENS.findall(t.lower()))]
     junk = [lm_scoring.TOKENS.sub(lambda m: m[0] if vocabulary[m[0].lower()] <= lm_scoring.N_WORDS else "qxzjvk" + m[0][-2:], t) for t in texts]
     assert len(texts) >= 5
     docs = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
-    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(docs, vocabulary), net).collect()}
+    got = {r.doc_id: r.mean_log_prob for r in lm_scoring.score(lm_scoring.encode(lm_scoring.tokenized(docs), vocabulary), net).collect()}
     assert all(got[i] > got[i + len(texts)] for i in range(len(texts)))
 
 
@@ -678,19 +679,34 @@ def test_words_without_an_id_are_charged_for_their_spelling(monkeypatch):
     vocabulary = lm_scoring.Vocabulary(["the", "a"], lm_scoring.Spelling(seen))
     plain = lm_scoring.Spelling(seen)
     text = "The zebra a ZEBRA quux, unseen words cobra zebra the ümlaut"
+    words = re.findall(r"\w+", text.lower())
+    own = {"the": 1, "a": 2}
+
+    def by_bytes(word):
+        """The same by plain loops over the counts."""
+        data, total = lm_scoring.spelled(word), 0.0
+        for x, y, z in zip(data, data[1:], data[2:]):
+            p = 1 / 256
+            for run, before in (((z,), ()), ((y, z), (y,)), ((x, y, z), (x, y))):
+                counts = Counter({c: n for c, n in seen.items() if c < 1 << 24})
+                of = lambda tail: sum(n for c, n in counts.items() if tuple(c.to_bytes(3, "big"))[3 - len(tail) :] == tail)  # noqa: E731, B023
+                head = lambda h: sum(n for c, n in counts.items() if tuple(c.to_bytes(3, "big"))[2 - len(h) : 2] == h)  # noqa: E731, B023
+                p = (of(run) + 4 * p) / (head(before) + 4)
+            total += math.log(p)
+        endings = {c - (1 << 24): n for c, n in seen.items() if c >= 1 << 24}
+        return min(0.0, total - math.log((endings.get(lm_scoring.ending_of(word), 0) + 0.5) / (sum(endings.values()) + 0.5 * lm_scoring.N_ENDINGS)))
+
     for _ in range(2):
-        ids, within = vocabulary.coded(text)
-        words = re.findall(r"\w+", text.lower())
-        unknown = [w for w in words if w not in ("the", "a")]
-        own = {"the": 1, "a": 2}
+        ids, spelt = vocabulary.coded(words)
         assert ids.tolist() == [own.get(w) or 1 + lm_scoring.N_WORDS + lm_scoring.ending_of(w) for w in words]
-        assert within == sum(plain.log_prob(w) for w in unknown) < 0
-    assert vocabulary.coded("")[0].tolist() == [] and vocabulary.coded("the a")[1] == 0.0
+        assert spelt == pytest.approx([0.0 if w in own else by_bytes(w) for w in words])
+        assert plain.log_prob("zebra") == pytest.approx(by_bytes("zebra"))
+    assert vocabulary.coded([])[0].tolist() == [] and vocabulary.coded(["the", "a"])[1].tolist() == [0.0, 0.0]
 
 
 def test_log_probability_by_plain_sums(spark, documents, rows):
-    vocabulary, counts = lm_scoring.learn_vocabulary(documents)
-    encoded = lm_scoring.encode(documents, vocabulary)
+    vocabulary, counts = lm_scoring.learn_vocabulary(lm_scoring.tokenized(documents))
+    encoded = lm_scoring.encode(lm_scoring.tokenized(documents), vocabulary)
     net = lm_scoring.train(encoded, counts)
     got = {r.doc_id: r for r in lm_scoring.score(encoded, net).collect()}
     softmax = lambda z: z - np.log(np.exp(z - z.max()).sum()) - z.max()
@@ -701,9 +717,9 @@ def test_log_probability_by_plain_sums(spark, documents, rows):
         for i, (word, own) in enumerate(zip(words, ids, strict=True)):
             h = np.tanh(sum(net.e[k][ids[i + o] if 0 <= i + o < len(ids) else 0].astype(float) for k, o in enumerate((-2, -1, 1, 2))))
             total += softmax(net.c.astype(float) @ h + net.cb)[own // 64] + softmax(net.w[own // 64].astype(float) @ h + net.wb[own // 64])[own % 64]
-            total += vocabulary.held.spelling.log_prob(word) if own > lm_scoring.N_WORDS else 0.0
+            total += vocabulary.spelling.log_prob(word) if own > lm_scoring.N_WORDS else 0.0
         short = spark.createDataFrame([(doc_id, " ".join(words))], "doc_id long, text string")
-        (found,) = lm_scoring.score(lm_scoring.encode(short, vocabulary), net).collect()
+        (found,) = lm_scoring.score(lm_scoring.encode(lm_scoring.tokenized(short), vocabulary), net).collect()
         assert found.n_words == len(words) and found.log_prob == pytest.approx(total, rel=1e-4)
         if len(words) < 400:
             assert got[doc_id].log_prob == pytest.approx(total, rel=1e-4)
