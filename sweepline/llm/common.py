@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
 from collections.abc import Callable, Iterator
@@ -43,6 +44,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 open_fs = open_folder
 
 
+def freeing(outs: Iterator) -> Iterator:
+    """The same; after the last one a task's freed memory goes back to the system. Else idle Python workers hold on to what their largest
+    task took, beside the JVM, through all later stages."""
+    yield from outs
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over plain Python columns; ``fn`` gets and gives dicts of column lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,7 +63,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
-        for out in fn(columns):
+        for out in freeing(fn(columns)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 
     return df.mapInArrow(run, schema)
@@ -144,7 +155,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
+        for out in freeing(fn(batches)):
             columns = (out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow_schema)
             yield pa.RecordBatch.from_arrays(list(columns), schema=arrow_schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, free_names, hot_join, in_slices, lower_ascii, map_arrow, materialize
+from .common import WORDS, free_names, freeing, hot_join, in_slices, lower_ascii, map_arrow, materialize
 from .components import connected_components
 
 #: Rows of one block value that a task joins at once; beyond it the value's rows are dealt into parts, joined two by two.
@@ -180,7 +180,7 @@ def _forest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _join_tables(words: int, budget: int):
-    def run(frames):
+    def links(frames):
         held, rows = [], 0
         for frame in frames:
             held.append(frame)
@@ -202,7 +202,7 @@ def _join_tables(words: int, budget: int):
         raw = frame["bits"].to_numpy()[order]
         yield pd.DataFrame({"a": raw[child], "b": raw[root]})
 
-    return run
+    return lambda frames: freeing(links(frames))
 
 
 Blocks = tuple[tuple[int, int], ...]  # (first bit, bits) of each

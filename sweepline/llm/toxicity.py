@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, is_held_out, map_arrow, table
+from .common import freeing, in_slices, is_held_out, map_arrow, table
 
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE_ROWS = 12_000
@@ -155,7 +155,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = np.concatenate([model.value.scores([terms(t or "") for t in texts[i : i + 500]]) for i in range(0, len(texts), 500)] or [np.zeros(0)])
             yield batch.filter(_mask(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: freeing(run(batches)), docs.schema)
 
 
 def _mask(keep: np.ndarray):
