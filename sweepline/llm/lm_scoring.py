@@ -222,15 +222,22 @@ class Network:
             h += self.e[k].take(around[k], 0)
         return np.tanh(h, out=h)
 
+    def within(self, h: np.ndarray, bounds: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Outputs of each row's own class, for rows ordered by class."""
+        z = np.empty((len(h), CLASS), np.float32)
+        for k in seen.tolist():
+            s = slice(bounds[k], bounds[k + 1])
+            np.matmul(h[s], self.w[k].T, out=z[s])
+            z[s] += self.wb[k]
+        return z
+
     def log_probs(self, target: np.ndarray, around: np.ndarray) -> np.ndarray:
         out = np.empty(len(target), np.float32)
         for start in range(0, len(target), SCORED):
             order, kind, word, bounds = _by_class(target[start : start + SCORED])
             h = self.hidden(around[:, start : start + SCORED][:, order])
             found = _log_softmax_at(h @ self.c.T + self.cb, kind)
-            for k in np.flatnonzero(np.diff(bounds)):
-                s = slice(bounds[k], bounds[k + 1])
-                found[s] += _log_softmax_at(h[s] @ self.w[k].T + self.wb[k], word[s])
+            found += _log_softmax_at(self.within(h, bounds, np.flatnonzero(np.diff(bounds))), word)
             out[start + order] = found
         return out
 
@@ -243,14 +250,15 @@ class Network:
         p = _pull(h @ self.c.T + self.cb, rows, kind, share)
         dh = p @ self.c
         seen = np.flatnonzero(np.diff(bounds))
-        gw, gb = np.empty((len(seen), CLASS, WIDTH), np.float32), np.empty((len(seen), CLASS), np.float32)
+        gw, back = np.empty((len(seen), CLASS, WIDTH), np.float32), np.empty_like(dh)
         gc, gcb = p.T @ h, p.sum(0)
-        for i, k in enumerate(seen):
+        p = _pull(self.within(h, bounds, seen), rows, word, share)
+        gb = np.add.reduceat(p, bounds[seen], axis=0)
+        for i, k in enumerate(seen.tolist()):
             s = slice(bounds[k], bounds[k + 1])
-            p = _pull(h[s] @ self.w[k].T + self.wb[k], rows[: bounds[k + 1] - bounds[k]], word[s], share[s])
-            np.matmul(p.T, h[s], out=gw[i])
-            gb[i] = p.sum(0)
-            dh[s] += p @ self.w[k]
+            np.matmul(p[s].T, h[s], out=gw[i])
+            np.matmul(p[s], self.w[k], out=back[s])
+        dh += back
         dh *= 1 - h * h
         every = slice(None)
         for name, at, g in (("c", every, gc), ("cb", every, gcb), ("w", seen, gw), ("wb", seen, gb)):

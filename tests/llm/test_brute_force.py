@@ -638,6 +638,23 @@ def test_network_learns_and_probabilities_sum_to_one():
     assert np.exp(net.log_probs(np.arange(lm_scoring.SIZE), one).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_a_batch_takes_two_softmaxes_whatever_its_classes(monkeypatch):
+    calls, plain = [], lm_scoring._exp
+    monkeypatch.setattr(lm_scoring, "_exp", lambda z: calls.append(len(z)) or plain(z))
+    net, squares = lm_scoring.Network.start(np.ones(lm_scoring.SIZE)), lm_scoring.Network(np.full(lm_scoring.Network.LENGTH, 1e-4, np.float32))
+    rng = np.random.default_rng(4)
+    target, around = rng.integers(0, lm_scoring.SIZE, 300), rng.integers(0, lm_scoring.SIZE, (4, 300))
+    net.train(target, around, squares)
+    assert calls == [300, 300]
+    got = net.log_probs(target, around)
+    assert calls == [300] * 4
+    for i in range(0, 300, 20):
+        h = np.tanh(sum(net.e[k][around[k, i]] for k in range(4)))
+        kind, word = divmod(int(target[i]), lm_scoring.CLASS)
+        zs = ((net.c @ h + net.cb, kind), (net.w[kind] @ h + net.wb[kind], word))
+        assert got[i] == pytest.approx(sum(float(z[at] - np.log(np.exp(z).sum())) for z, at in zs), abs=1e-4)
+
+
 def test_windows_by_loop():
     texts = [np.array([5, 6, 7], np.int32), np.array([], np.int32), np.array([8], np.int32)]
     target, around, sizes = lm_scoring.windows(texts)
